@@ -22,7 +22,7 @@ an empty table gives an empty mix; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -78,6 +78,11 @@ def _unit(*of: Column | str) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *of), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once; a repeated Column would be evaluated at every mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """Marked among ``drawn`` of ``total`` with ``marked`` marked, by inversion of u.
 
@@ -91,23 +96,32 @@ def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> C
     low = F.greatest(F.lit(0), drawn - (total - marked), F.floor(mean - reach)).cast("long")
     high = F.least(marked, drawn, F.ceil(mean + reach)).cast("long")
 
-    def step(state: Column, x: Column) -> Column:
-        prior = (x - 1).cast("double")
-        ratio = (k - prior) * (d - prior) / ((prior + 1) * (n - k - d + prior + 1))
-        weight = F.when(x == low, F.lit(0.0)).otherwise(F.element_at(state, -1) + F.log(ratio))
-        return F.concat(state, F.array(weight))
-
-    # seeded with one value so that -1 always has something to read
-    logs = F.slice(F.aggregate(F.sequence(low, high), F.array(F.lit(0.0)), step), F.lit(2), (high - low + 1).cast("int"))
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda v: F.exp(v - top))
-    goal = u * F.aggregate(weights, F.lit(0.0), lambda a, v: a + v)
-    passed = F.aggregate(
-        weights,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
-        lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + F.when(a["sum"] + v <= goal, 1).otherwise(0)).cast("long").alias("n")),
-    )["n"]
-    return F.least(low + passed, high)
+    def inverse(p: Column) -> Column:
+        n, k, d = p["n"], p["k"], p["d"]
+
+        def step(state: Column, x: Column) -> Column:
+            before = (x - 1).cast("double")
+            ratio = (k - before) * (d - before) / ((before + 1) * (n - k - d + before + 1))
+            return F.concat(state, F.array(F.when(x == p["low"], F.lit(0.0)).otherwise(F.element_at(state, -1) + F.log(ratio))))
+
+        # seeded with one value so that -1 always has something to read
+        logs = F.aggregate(F.sequence(p["low"], p["high"]), F.array(F.lit(0.0)), step)
+        logs = F.slice(logs, F.lit(2), (p["high"] - p["low"] + 1).cast("int"))
+        return _let(logs, lambda v: _let(F.array_max(v), lambda top: _let(F.transform(v, lambda x: F.exp(x - top)), chosen)))
+
+    def chosen(weights: Column) -> Column:
+        state = "struct<sum:double,n:bigint>"
+
+        def passed(goal: Column) -> Column:
+            def step(a: Column, v: Column) -> Column:
+                return F.struct((a["sum"] + v).alias("sum"), (a["n"] + (a["sum"] + v <= goal).cast("long")).alias("n")).cast(state)
+
+            return F.aggregate(weights, F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")).cast(state), step)["n"]
+
+        return _let(u * F.aggregate(weights, F.lit(0.0), lambda a, v: a + v), passed)
+
+    given = F.struct(n.alias("n"), k.alias("k"), d.alias("d"), low.alias("low"), high.alias("high"))
+    return _let(given, lambda p: F.least(p["low"] + inverse(p), p["high"]))
 
 
 def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
@@ -126,12 +140,14 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["blocks"])
 
         def draw(state: Column, x: Column) -> Column:
-            got = hypergeometric(_unit("node", x["source"]), state["rest"], x["blocks"], state["left"])
-            return F.struct(
-                (state["rest"] - x["blocks"]).alias("rest"),
-                (state["left"] - got).alias("left"),
-                F.concat(state["draws"], F.array(got)).alias("draws"),
-            ).cast(kind)
+            def after(got: Column) -> Column:
+                return F.struct(
+                    (state["rest"] - x["blocks"]).alias("rest"),
+                    (state["left"] - got).alias("left"),
+                    F.concat(state["draws"], F.array(got)).alias("draws"),
+                ).cast(kind)
+
+            return _let(hypergeometric(_unit("node", x["source"]), state["rest"], x["blocks"], state["left"]), after)
 
         start = F.struct(total.alias("rest"), F.floor((total + 1) / 2).alias("left"), F.expr("cast(array() as array<bigint>)").alias("draws"))
         tree = tree.withColumn("draws", F.aggregate("q", start.cast(kind), draw)["draws"])
