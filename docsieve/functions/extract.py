@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CODES, CURRENCY, MONTH, NUMBER, make_date, month_number, separated_number
+from .text import CODES, CURRENCY, MONTH, NUMBER, let, make_date, month_number, separated_number
 
 SPAN = "struct<start:int,end:int,raw:string>"
 EXTRACTION = "struct<value:string,start:int,end:int,raw:string,extractor:string,confidence:double>"
@@ -98,11 +98,17 @@ def money_value(raw: Column) -> Column:
     """The plain decimal string of an amount, negative in parentheses; a bare integer is none."""
     t = F.trim(raw)
     negative = t.startswith("(") & t.endswith(")")
-    t = F.when(negative, F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    marked = t.rlike(CURRENCY) | t.rlike(_CODE)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(t, CURRENCY, ""), _CODE, ""))
-    number = F.when(marked | bare.rlike("[.,]"), separated_number(bare))
-    return F.when(number.rlike(r"^\d+\.?\d*$"), F.when(negative, F.concat(F.lit("-"), number)).otherwise(number))
+    inner = F.when(negative, F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    def number(t: Column) -> Column:
+        marked = t.rlike(CURRENCY) | t.rlike(_CODE)
+        bare = F.trim(F.regexp_replace(F.regexp_replace(t, CURRENCY, ""), _CODE, ""))
+        return let(bare, lambda b: F.when(marked | b.rlike("[.,]"), separated_number(b)))
+
+    def signed(n: Column) -> Column:
+        return F.when(n.rlike(r"^\d+\.?\d*$"), F.when(negative, F.concat(F.lit("-"), n)).otherwise(n))
+
+    return let(let(inner, number), signed)
 
 
 def money(text: Column) -> Column:

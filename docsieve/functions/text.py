@@ -6,6 +6,8 @@ are no numbers here.  Casts are the try_ forms, so no input raises.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,15 +28,16 @@ MONTH = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once; a Column used twice would be evaluated twice."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def norm(text: Column) -> Column:
     """Case-folded, with runs of Unicode white space as one space, and none at the ends."""
     return F.trim(F.regexp_replace(F.lower(F.upper(text)), r"(?U)\s+", " "))
 
 
-def try_cast(value: Column, kind: str) -> Column:
-    return value.try_cast(kind)
-
-
 def make_date(year: Column, month: Column, day: Column) -> Column:
     """A date from numbers given as strings; null where there is none such."""
     year = F.when(F.length(year) == 2, F.concat(F.when(year.try_cast("int") < 69, F.lit("20")).otherwise(F.lit("19")), year)).otherwise(year)
@@ -70,13 +73,16 @@ def separated_number(t: Column) -> Column:
 def to_number(text: Column) -> Column:
     """A tolerant decimal: currency signs and spaces are dropped, separators read as above."""
     t = F.regexp_replace(F.regexp_replace(F.trim(text), CURRENCY, ""), "[   ]", "")
-    clean = separated_number(t)
-    return F.when(clean.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), clean.try_cast(NUMBER))
+    plain = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+    return let(let(t, separated_number), lambda clean: F.when(clean.rlike(plain), clean.try_cast(NUMBER)))
 
 
 def to_date(text: Column) -> Column:
     """A date from numeric forms in order, then month-name forms; only a whole date counts."""
-    t = F.trim(text)
+    return let(F.trim(text), _first_date)
+
+
+def _first_date(t: Column) -> Column:
     tries = []
     for form, order in DATE_FORMS:
         a, b, c = (F.regexp_extract(t, f"^{form}$", i) for i in (1, 2, 3))

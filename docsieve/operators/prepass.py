@@ -163,7 +163,11 @@ def line_items(text: Column, amounts: Column) -> Column:
 
     segments = F.filter(X.spans(text, SEGMENT), lambda s: F.trim(s["raw"]) != "")
     found = F.filter(F.transform(segments, item), lambda i: i["whole"])
-    return F.struct(*[F.filter(F.transform(found, lambda i, leaf=leaf: i[leaf]), lambda e: e.isNotNull()).alias(leaf) for leaf in ITEM_LEAVES])
+
+    def column(leaf: str) -> Column:
+        return F.filter(F.transform(found, lambda i: i[leaf]), lambda e: e.isNotNull()).alias(leaf)
+
+    return F.struct(*map(column, ITEM_LEAVES))
 
 
 def _extractor(text: Column, b: Binding, region: str, dayfirst: bool) -> Column:
