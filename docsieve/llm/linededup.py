@@ -10,9 +10,11 @@ is one shingle) is at least ``threshold``:
    pass over the text;
 2. banding: lines that agree in a whole band are candidates.  With 12 bands of 4 rows a
    pair at 0.8 is missed with a chance of 0.2 %;
-3. exact Jaccard verification: all pairs of a small bucket; in a large one every line
-   against the bucket's leader, with lines that fail going on to a next round, so a
-   bucket costs its lines times its leaders, never its pairs;
+3. exact Jaccard verification, a bucket of up to ``SMALL`` different lines at a time: the
+   sizes of all intersections are one product of the 0/1 matrix of lines and shingles, in
+   bounded slices, and only a forest of the near pairs leaves the task.  Buckets of the
+   same lines are compared once.  A larger bucket is cut into groups of half that size, and
+   every two groups are such a bucket, so no pair is left out and no task is large;
 4. distributed union-find over the verified pairs; the component's first occurrence stays.
 
 A line's class keeps the occurrence that comes first by (doc_id, line number).  Empty
@@ -40,6 +42,7 @@ from .sharing import shared_rows
 SHINGLE = 9
 BANDS, ROWS = 12, 4
 THRESHOLD = 0.8
+SMALL = 800
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: White space that is not compared at the ends of a line.
 _ENDS = " \t\x0b\x0c\r"
@@ -120,55 +123,73 @@ def _texts(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([pa.array(_node(lines).view(np.int64)), pa.array(lines, pa.string())], ["node", "line"])
 
 
-def similarity(a: str, b: str, width: int = SHINGLE) -> float:
-    """Exact Jaccard similarity of the shingle sets of two lines."""
-
-    def grams(x: str) -> set[str]:
-        return {x[i : i + width] for i in range(max(1, len(x) - width + 1))}
-
-    p, q = grams(a), grams(b)
-    both = len(p & q)
-    return both / (len(p) + len(q) - both)
-
-
-def _verify(threshold: float, batch: pa.RecordBatch) -> pa.RecordBatch:
-    pairs = zip(batch["la"].to_pylist(), batch["lb"].to_pylist(), strict=True)
-    near = [min(len(x), len(y)) >= threshold * (max(len(x), len(y)) - SHINGLE) - SHINGLE and similarity(x, y) >= threshold for x, y in pairs]
-    keep = pa.array(near)
-    return pa.RecordBatch.from_arrays([batch[c].filter(keep) for c in ("a", "b")], ["a", "b"])
-
-
-def near_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = 24) -> DataFrame:
-    """(a, b): verified pairs of near lines, as nodes (hashes of the trimmed line).
-
-    In a bucket of up to ``small`` different lines all pairs are verified.  In a larger
-    one every line is verified against a leader (another one for every band); lines that
-    fail form the bucket's next round.
-    """
+def near_matrix(lines: list[str], threshold: float = THRESHOLD, cells: int = 16 << 20) -> np.ndarray:
+    """lines x lines: whether the Jaccard similarity of the shingle sets is at least the threshold."""
+    h, line = shingle_hashes(lines)
+    order = np.lexsort((line, h))
+    h, line = h[order], line[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[fresh], line[fresh]
+    sizes = np.bincount(line, minlength=len(lines))
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    counts = np.diff(np.append(starts, len(h)))
+    column = np.repeat(np.cumsum(counts > 1) - 1, counts)
+    shared = np.repeat(counts > 1, counts)  # a shingle of one line is in no intersection
+    line, column = line[shared], column[shared]
+    both = np.zeros((len(lines), len(lines)), np.float32)
+    step = max(1, cells // len(lines))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        low, high = np.searchsorted(column, (at, at + step))
+        part = np.zeros((len(lines), min(step, int(column[-1]) + 1 - at)), np.float32)
+        part[line[low:high], column[low:high] - at] = 1
+        both += part @ part.T
+    return both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+
+
+def join_bucket(lines: list[str], threshold: float = THRESHOLD) -> np.ndarray:
+    """For each line the first one of its component."""
+    near = near_matrix(lines, threshold)
+    root = np.arange(len(lines))
+    while True:  # least neighbour, then the neighbour's neighbour
+        least = np.minimum(root, np.where(near, root[None, :], len(lines)).min(axis=1))
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _join_buckets(threshold: float, batch: pa.RecordBatch):
+    for at in range(0, batch.num_rows, 256):
+        a: list[int] = []
+        b: list[int] = []
+        for cell in batch["bucket"].slice(at, 256):
+            rows = cell.as_py()
+            nodes = [r["node"] for r in rows]
+            for i, top in enumerate(join_bucket([r["line"] for r in rows], threshold).tolist()):
+                if i != top:
+                    a.append(nodes[i])
+                    b.append(nodes[top])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def near_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+    """(a, b) whose transitive closure is that of the near pairs; nodes are hashes of the trimmed line."""
     text = only(docs, "text")
     met = staged(shared_rows(text, partial(_banded, bands, rows)).distinct())
-    size = met.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    few = met.join(size.filter(F.col("n") <= small), "value").drop("n")
-    pairs = few.select("value", F.col("node").alias("a")).join(few.select("value", F.col("node").alias("b")), "value").filter("a < b").select("a", "b").distinct()
-    words = met.select("node").distinct()
-    known = staged(arrow_map(text, "node long, line string", _texts).join(words, "node").groupBy("node").agg(F.min("line").alias("line")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = known.select(F.col("node").alias("a"), F.col("line").alias("la"))
-        b = known.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-        return staged(arrow_map(pairs.join(a, "a").join(b, "b"), "a long, b long", partial(_verify, threshold)))
-
-    found = verified(pairs)
-    rest = staged(met.join(size.filter(F.col("n") > small), "value").select("value", "node"))
-    while not rest.isEmpty():
-        lead = rest.groupBy("value").agg(F.min_by("node", F.xxhash64("value", "node")).alias("lead"))
-        led = staged(rest.join(lead, "value").filter("node <> lead"))
-        ok = verified(led.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
-        found = found.union(ok)
-        left = led.join(ok.select(F.col("a").alias("node"), F.col("b").alias("lead")), ["node", "lead"], "left_anti").select("value", "node")
-        again = left.groupBy("value").count().filter("count > 1").select("value")
-        rest = staged(left.join(again, "value"))
-    return found
+    lines = arrow_map(text, "node long, line string", _texts)
+    known = lines.join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("line").alias("line"))
+    size = met.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = F.when(F.col("n") > small, F.ceil(F.col("n") / (small // 2))).otherwise(1).cast("int")
+    sized = met.join(size, "value").withColumn("groups", groups)
+    own = F.pmod(F.xxhash64("node", "value"), F.col("groups")).cast("int")
+    other = F.when(F.col("groups") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("groups") - 1), own))
+    dealt = sized.withColumn("own", own).withColumn("other", F.explode(other))
+    dealt = dealt.select("node", F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+    sets = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("nodes")).filter(F.size("nodes") > 1).select("nodes").distinct()
+    named = sets.select(F.xxhash64("nodes").alias("id"), F.explode("nodes").alias("node"))
+    full = named.join(known, "node").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("node", "line"))).alias("bucket"))
+    return arrow_map(full.select("bucket"), "a long, b long", partial(_join_buckets, threshold))
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -253,7 +253,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     plan = mix(docs, **how).filter("taken > 0")
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
     joined = docs.withColumn("_words", word_count(docs["text"])).join(
-        plan, (docs["doc_id"] == F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+        plan, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
     )
     part = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
     text = F.when(F.col("taken") < F.col("_size"), part).otherwise(docs["text"])

@@ -6,22 +6,21 @@ word sequence also begins in a document with a smaller doc_id.
 1. Candidates: a window's anchor is the least hash of the 5-word phrases in it, so equal
    windows have equal anchors, at about a fifth of the windows.  Anchors that two different
    texts share are found with one packed shuffle (``sharing.shared_rows``).
-2. Confirmation: only the stretches of text around shared anchors travel on.  Their windows,
-   as words, are grouped with the smallest and largest doc_id of each (combined in every
-   task first); those in two documents are the recurring phrases, and the smallest doc_id
-   is the owner.
-3. Automata: the phrases are sharded by anchor, so many a shard that one automaton is
-   small.  Every shard compiles its phrases, one symbol a word, into an Aho-Corasick
-   automaton and streams the stretches of all documents with its anchors through it.  A
-   shard with many stretches is salted: its phrases go to several tasks, its stretches to
-   one of them each.  Every occurrence in a document other than the owner is a hit.
-4. Hits are merged by document and applied to the whole text.
-
+2. Stretches: only text around shared anchors travels on.  The windows in it that two
+   documents have are the recurring phrases; the smallest doc_id is the owner.
+3. Automata: stretches are dealt out by anchor to so many shards that a shard is small, in
+   packed and compressed cells.  A shard has every occurrence of its phrases: it confirms
+   them, compiles them, one symbol a word, into an Aho-Corasick automaton, and streams its
+   stretches through it.  Every occurrence in a document other than the owner is a hit.
+   Anchors in very many texts are salted over tasks: their phrases are confirmed with a
+   grouped minimum and maximum, and each salt compiles the anchor's automaton for its own
+   part of the stretches.
 Equal texts are one text in steps 1 to 3; all but the smallest doc_id of them lose every
 window.
 
 Defined results: null and empty texts have no words; texts under 13 words lose nothing;
-rows that repeat a doc_id are judged against other doc_ids only; an empty table gives an
+rows that repeat a doc_id are judged against other doc_ids only; a null doc_id is compared
+with nothing; an empty table gives an
 empty table; other columns are ignored.
 """
 
@@ -35,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +43,9 @@ from .sharing import shared_rows
 
 WINDOW = 13
 PHRASE = 5
-#: Phrases an automaton holds at about, and stretches that go through one task's at about.
-AUTOMATON = 20_000
+#: Stretches that a shard holds at about, and texts from which on an anchor is salted.
 STRETCHES = 40_000
+HOT = 1_500
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,29 +81,80 @@ def _anchor_rows(window: int, batch: pa.RecordBatch):
         yield value[new], np.repeat(node, np.diff(first))[new]
 
 
-def _stretches(window: int, batch: pa.RecordBatch):
-    """The text around every run of windows with one shared anchor."""
-    for at in range(0, batch.num_rows, 64):
-        chunk = batch.slice(at, 64)
-        rows: list[tuple[int, int, int, int, str]] = []
-        for doc_id, row, text, shared in zip(*(chunk[c] for c in ("doc_id", "row", "text", "anchors")), strict=True):
-            raw = (text.as_py() or "").encode()
-            starts, ends, hashes, first = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            value, begins = anchors(hashes, first, window)
-            known = np.sort(np.array(shared.as_py(), np.int64).view(np.uint64))
-            place = np.minimum(np.searchsorted(known, value), len(known) - 1)
-            hit = begins & (known[place] == value)
-            new = hit.copy()
-            new[1:] &= ~hit[:-1] | (value[1:] != value[:-1])
-            last = hit.copy()
-            last[:-1] &= ~hit[1:] | new[1:]
-            for a, b in zip(np.flatnonzero(new).tolist(), np.flatnonzero(last).tolist(), strict=True):
-                part = raw[starts[a] : ends[b + window - 1]].split()
-                rows.append((int(value[a].view(np.int64)), doc_id.as_py(), row.as_py(), a, b" ".join(part).decode()))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            names = ["anchor", "doc_id", "row", "begin", "words"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _pack_text(batch: pa.RecordBatch):
+    """doc_id, the text's hash and the text compressed, which halves what a join shuffles."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for chunk in text_chunks(batch):
+        texts = [(t.as_py() or "").encode() for t in chunk["text"]]
+        row = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts)).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [chunk["doc_id"], pa.array(row), pa.array([squeeze(t) for t in texts], pa.binary())], ["doc_id", "row", "packed"]
+        )
+
+
+def _unpack_text(cell: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(cell)
+
+
+def _pack(rows: list[tuple[int, int, int, str]]) -> bytes:
+    doc, row, begin, words = zip(*rows, strict=True)
+    head = np.array([[len(rows)] * len(rows), doc, row, begin], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + "\n".join(words).encode())
+
+
+def _unpack(cell: bytes) -> list[tuple[int, int, int, str]]:
+    raw = _unpack_text(cell)
+    n = int(np.frombuffer(raw[:8], "<i8")[0])
+    head = np.frombuffer(raw[: 32 * n], "<i8").reshape(4, n)[1:]
+    return list(zip(*head.tolist(), raw[32 * n :].decode().split("\n"), strict=True))
+
+
+def _stretches(window: int, shards: int, batch: pa.RecordBatch):
+    """The text around every run of windows with one shared anchor, packed by where it goes."""
+    goes: dict[tuple[int, int, bool], list] = {}
+    held = 0
+
+    def flush():
+        keys = list(goes)
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in keys], pa.int64()),
+                pa.array([k[1] for k in keys], pa.int32()),
+                pa.array([k[2] for k in keys], pa.bool_()),
+                pa.array([_pack(goes[k]) for k in keys], pa.binary()),
+            ],
+            ["part", "salt", "hot", "rows"],
+        )
+        goes.clear()
+        return out
+
+    for doc_id, row, packed, shared, hot in zip(*(batch[c] for c in ("doc_id", "row", "packed", "anchors", "hot")), strict=True):
+        doc, of = doc_id.as_py(), row.as_py()
+        raw = _unpack_text(packed.as_py())
+        starts, ends, hashes, first = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        value, begins = anchors(hashes, first, window)
+        known = np.sort(np.array(shared.as_py(), np.int64).view(np.uint64))
+        salts = {h["value"]: h["salts"] for h in hot.as_py()}
+        place = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        hit = begins & (known[place] == value)
+        new = hit.copy()
+        new[1:] &= ~hit[:-1] | (value[1:] != value[:-1])
+        last = hit.copy()
+        last[:-1] &= ~hit[1:] | new[1:]
+        for a, b in zip(np.flatnonzero(new).tolist(), np.flatnonzero(last).tolist(), strict=True):
+            anchor = int(value[a].view(np.int64))
+            if anchor in salts:
+                key = (anchor, (doc * 31 + a) % salts[anchor], True)
+            else:
+                key = (int(value[a] % np.uint64(shards)), 0, False)
+            words = b" ".join(raw[starts[a] : ends[b + window - 1]].split()).decode()
+            goes.setdefault(key, []).append((doc, of, a, words))
+            held += len(words)
+        if held > 16 << 20:
+            held = 0
+            yield flush()
+    if goes:
+        yield flush()
 
 
 def _windows(words: str, window: int) -> list[str]:
@@ -111,51 +162,45 @@ def _windows(words: str, window: int) -> list[str]:
     return [" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
 
 
-def _phrases(window: int, batches):
-    """(anchor, phrase, least doc_id, greatest doc_id), combined as far as memory goes."""
-    seen: dict[str, list[int]] = {}
+def _seen(window: int, rows, seen: dict[str, list[int]]) -> None:
+    """Least and greatest doc_id of every window of the rows."""
+    for doc, _, _, words in rows:
+        for p in _windows(words, window):
+            if (v := seen.get(p)) is None:
+                seen[p] = [doc, doc]
+            elif doc < v[0]:
+                v[0] = doc
+            elif doc > v[1]:
+                v[1] = doc
 
-    def flush():
-        rows = list(seen.items())
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in part]), *(pa.array([v[i] for _, v in part], pa.int64()) for i in range(3))],
-                ["phrase", "anchor", "low", "high"],
-            )
-        seen.clear()
-
-    for batch in batches:
-        for anchor, doc, words in zip(*(batch[c].to_pylist() for c in ("anchor", "doc_id", "words")), strict=True):
-            for p in _windows(words, window):
-                if (v := seen.get(p)) is None:
-                    seen[p] = [anchor, doc, doc]
-                elif doc < v[1]:
-                    v[1] = doc
-                elif doc > v[2]:
-                    v[2] = doc
-            if len(seen) > 300_000:
-                yield from flush()
-    yield from flush()
-
-
-def compile_automaton(phrases: list[str], owners: list[int]) -> tuple[ahocorasick.Automaton, dict[str, str]]:
-    """One symbol a word; the automaton's values are the owners."""
+
+def _phrases(window: int, batch: pa.RecordBatch):
+    """(part, phrase, least doc_id, greatest doc_id) of packed stretches of hot anchors."""
+    for part, cell in zip(batch["part"].to_pylist(), batch["rows"], strict=True):
+        seen: dict[str, list[int]] = {}
+        _seen(window, _unpack(cell.as_py()), seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(seen), pa.int64()), pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))],
+            ["part", "phrase", "low", "high"],
+        )
+
+
+def compile_automaton(owners: dict[str, int]) -> tuple[ahocorasick.Automaton, dict[str, str]]:
+    """One symbol a word; the automaton's values are the owners of the phrases."""
     symbol: dict[str, str] = {}
     automaton = ahocorasick.Automaton()
-    for phrase, owner in zip(phrases, owners, strict=True):
-        key = "".join([symbol.setdefault(w, chr(0x10000 + len(symbol))) for w in phrase.split(" ")])
-        automaton.add_word(key, owner)
+    for phrase, owner in owners.items():
+        automaton.add_word("".join([symbol.setdefault(w, chr(0x10000 + len(symbol))) for w in phrase.split(" ")]), owner)
     automaton.make_automaton()
     return automaton, symbol
 
 
-def _locate(window: int, phrases: pd.DataFrame, stretches: pd.DataFrame) -> pd.DataFrame:
+def locate(window: int, owners: dict[str, int], rows) -> pd.DataFrame:
     """Word ranges of the occurrences outside of their owners, merged inside a stretch."""
     out: list[tuple[int, int, int, int]] = []
-    if len(phrases) and len(stretches):
-        automaton, symbol = compile_automaton(phrases["phrase"].tolist(), phrases["owner"].tolist())
-        for doc, row, begin, words in zip(*(stretches[c].tolist() for c in ("doc_id", "row", "begin", "words")), strict=True):
+    if owners:
+        automaton, symbol = compile_automaton(owners)
+        for doc, row, begin, words in rows:
             start = end = -1
             for last, owner in automaton.iter("".join([symbol.get(w, "\0") for w in words.split(" ")])):
                 if owner < doc:
@@ -170,7 +215,18 @@ def _locate(window: int, phrases: pd.DataFrame, stretches: pd.DataFrame) -> pd.D
     return pd.DataFrame(out, columns=["doc_id", "row", "start", "end"], dtype=np.int64)
 
 
-def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def _shard(window: int, cells: pd.DataFrame) -> pd.DataFrame:
+    rows = [r for cell in cells["rows"] for r in _unpack(cell)]
+    seen: dict[str, list[int]] = {}
+    _seen(window, rows, seen)
+    return locate(window, {p: v[0] for p, v in seen.items() if v[0] < v[1]}, rows)
+
+
+def _salted(window: int, phrases: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    return locate(window, dict(zip(phrases["phrase"], phrases["owner"], strict=True)), (r for cell in cells["rows"] for r in _unpack(cell)))
+
+
+def removals(docs: DataFrame, window: int = WINDOW, stretches: int = STRETCHES, hot: int = HOT) -> DataFrame:
     """(doc_id, row, whole, ranges) of every document that loses words.
 
     row is the text's hash; whole says that an equal text has a smaller doc_id; ranges are
@@ -178,27 +234,29 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
-    d = only(docs, "doc_id", "text").select("doc_id", text.alias("text"))
+    d = only(docs, "doc_id", "text").select("doc_id", text.alias("text")).filter("doc_id is not null")
     ids = staged(d.select("doc_id", F.xxhash64("text").alias("row"), F.xxhash64(F.lit("check"), "text").alias("check")))
     least = ids.groupBy("row", "check").agg(F.min("doc_id").alias("least"))
-    shared = shared_rows(d, partial(_anchor_rows, window)).distinct().groupBy(F.col("node").alias("row")).agg(F.collect_list("value").alias("anchors"))
-    chosen = shared.join(least, "row").select(F.col("least").alias("doc_id"), "row", "anchors")
-    kept = d.withColumn("row", F.xxhash64("text")).join(chosen, ["doc_id", "row"]).select("doc_id", "row", "text", "anchors")
-    stretch = staged(arrow_map(kept, "anchor long, doc_id long, row long, begin long, words string", partial(_stretches, window)).filter("doc_id is not null"))
-    seen = stretch.select("anchor", "doc_id", "words").mapInArrow(partial(_phrases, window), "phrase string, anchor long, low long, high long")
-    phrases = staged(
-        seen.groupBy("anchor", "phrase").agg(F.min("low").alias("owner"), F.max("high").alias("high")).filter("owner < high").drop("high")
+    shared = staged(shared_rows(d, partial(_anchor_rows, window)).distinct())
+    many = shared.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
+    many = many.select("value", F.ceil(F.col("n") / (hot / 2)).cast("int").alias("salts"))
+    lists = shared.join(many, "value", "left").groupBy(F.col("node").alias("row")).agg(
+        F.collect_list("value").alias("anchors"),
+        F.collect_list(F.when(F.col("salts").isNotNull(), F.struct("value", "salts"))).alias("hot"),
     )
-    shards = max(parts, phrases.count() // AUTOMATON)
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    sharded = stretch.withColumn("shard", shard)
-    salts = sharded.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / STRETCHES).cast("int").alias("salts"))
-    left = phrases.withColumn("shard", shard).join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    right = sharded.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "begin"), F.col("salts")).cast("int"))
-    hits = (
-        left.select("shard", "salt", "phrase", "owner").groupBy("shard", "salt")
-        .cogroup(right.select("shard", "salt", "doc_id", "row", "begin", "words").groupBy("shard", "salt"))
-        .applyInPandas(partial(_locate, window), "doc_id long, row long, start long, end long")
+    chosen = lists.join(least, "row").select(F.col("least").alias("doc_id"), "row", "anchors", "hot")
+    packed = arrow_map(d, "doc_id long, row long, packed binary", _pack_text)
+    kept = packed.join(chosen, ["doc_id", "row"]).select("doc_id", "row", "packed", "anchors", "hot")
+    shards = max(4 * parts, shared.count() // stretches)
+    cells = staged(arrow_map(kept, "part long, salt int, hot boolean, rows binary", partial(_stretches, window, shards)))
+    hits = cells.filter("not hot").groupBy("part").applyInPandas(partial(_shard, window), "doc_id long, row long, start long, end long")
+    warm = cells.filter("hot")
+    phrases = warm.transform(lambda x: arrow_map(x, "part long, phrase string, low long, high long", partial(_phrases, window)))
+    phrases = phrases.groupBy("part", "phrase").agg(F.min("low").alias("owner"), F.max("high").alias("high")).filter("owner < high")
+    left = phrases.select("part", "phrase", "owner").join(warm.select("part", "salt").distinct(), "part")
+    hits = hits.union(
+        left.groupBy("part", "salt").cogroup(warm.select("part", "salt", "rows").groupBy("part", "salt"))
+        .applyInPandas(partial(_salted, window), "doc_id long, row long, start long, end long")
     )
     ranges = hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     copies = ids.join(least, ["row", "check"]).filter("least < doc_id").select("doc_id", "row").distinct()
@@ -207,9 +265,9 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def kept_words(text: str, whole: bool, ranges: list[dict] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
+def kept_words(text: bytes, whole: bool, ranges: list[dict] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
-    words = text.encode().split()
+    words = text.split()
     if whole and len(words) >= window:
         return [], len(words)
     if not ranges:
@@ -222,19 +280,18 @@ def kept_words(text: str, whole: bool, ranges: list[dict] | None, window: int =
     return [w for w, s in zip(words, stays.tolist(), strict=True) if s], len(words)
 
 
-def _report(batch: pa.RecordBatch):
-    for chunk in text_chunks(batch):
-        rows = []
-        for doc_id, text, whole, ranges in zip(*(chunk[c].to_pylist() for c in ("doc_id", "text", "whole", "ranges")), strict=True):
-            kept, n = kept_words(text or "", bool(whole), ranges)
-            rows.append((doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        kinds = [pa.int64()] * 3 + [pa.string()]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _report(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for doc_id, packed, whole, ranges in zip(batch["doc_id"].to_pylist(), batch["packed"], batch["whole"].to_pylist(), batch["ranges"], strict=True):
+        kept, n = kept_words(_unpack_text(packed.as_py()), bool(whole), ranges.as_py())
+        rows.append((doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    kinds = [pa.int64()] * 3 + [pa.string()]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
-    d = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    joined = d.join(removals(docs), ["doc_id", "row"], "left").select("doc_id", "text", "whole", "ranges")
+    d = arrow_map(only(docs, "doc_id", "text"), "doc_id long, row long, packed binary", _pack_text)
+    joined = d.join(removals(docs), ["doc_id", "row"], "left").select("doc_id", "packed", "whole", "ranges")
     return arrow_map(joined, "doc_id long, n_words long, n_removed long, kept_sha256 string", _report)
