@@ -37,19 +37,24 @@ PHONE = r"(?<![\w+])(?:(?:\+?1[-. ]?)?(?:\([2-9]\d{2}\)[-. ]?|[2-9]\d{2}[-. ]?)[
 
 def spans(text: Column, pattern: str) -> Column:
     """Non-overlapping matches from the left, with their code point places."""
-    gaps = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kind = f"struct<at:int,out:array<{SPAN}>>"
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")).cast(kind)
 
     def step(a: Column, z: Column) -> Column:
-        begin = a["at"] + F.length(z["g"])
-        end = begin + F.length(z["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), z["m"].alias("raw"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")).cast(kind)
+        def after(begin: Column) -> Column:
+            end = begin + F.length(z["m"])
+            one = F.struct(begin.alias("start"), end.alias("end"), z["m"].alias("raw"))
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")).cast(kind)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.aggregate(pairs, start, step)["out"]
+        return let(a["at"] + F.length(z["g"]), after)
+
+    def placed(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        none = F.expr(f"cast(array() as array<{SPAN}>)")
+        return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(pairs, start, step)["out"])
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _extractions(found: Column, extractor: str, value: Callable[[Column], Column], confidence: Callable[[Column], Column] | None = None) -> Column:

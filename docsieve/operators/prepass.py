@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Schema, get_schema
 from ..functions import extract as X
+from ..functions.text import let
 
 #: Rules that pick one match; ``after`` takes the first at or after the label.
 RULES = ("first", "last", "max", "min", "after")
@@ -149,25 +150,31 @@ def line_items(text: Column, amounts: Column) -> Column:
     def item(s: Column) -> Column:
         inside = F.filter(amounts, lambda m: (s["start"] <= m["start"]) & (m["end"] <= s["end"]))
         quantity = F.try_element_at(X.spans(s["raw"], QUANTITY), F.lit(1))
+        return let(F.struct(s.alias("s"), inside.alias("m"), quantity.alias("q")), parts)
+
+    def parts(x: Column) -> Column:
+        s, inside, quantity = x["s"], x["m"], x["q"]
         number = F.coalesce(*[F.nullif(F.regexp_extract(quantity["raw"], QUANTITY, i), F.lit("")) for i in (1, 2)])
         one = F.size(inside) == 1
+        count = F.struct(
+            number.alias("value"), (s["start"] + quantity["start"]).alias("start"), (s["start"] + quantity["end"]).alias("end"),
+            quantity["raw"].alias("raw"), F.lit("line_items").alias("extractor"), F.lit(1.0).alias("confidence"),
+        ).cast(X.EXTRACTION)
         return F.struct(
-            F.struct(
-                number.alias("value"), (s["start"] + quantity["start"]).alias("start"), (s["start"] + quantity["end"]).alias("end"),
-                quantity["raw"].alias("raw"), F.lit("line_items").alias("extractor"), F.lit(1.0).alias("confidence"),
-            ).cast(X.EXTRACTION).alias("quantity"),
+            count.alias("quantity"),
             F.when(~one, money_after(s, "@", inside)).alias("unit_price"),
-            F.when(one, inside[0]).otherwise(money_after(s, "=", inside)).alias("line_total"),
+            F.when(one, F.try_element_at(inside, F.lit(1))).otherwise(money_after(s, "=", inside)).alias("line_total"),
             (quantity.isNotNull() & (F.size(inside) > 0)).alias("whole"),
-        )
+        )
 
-    segments = F.filter(X.spans(text, SEGMENT), lambda s: F.trim(s["raw"]) != "")
-    found = F.filter(F.transform(segments, item), lambda i: i["whole"])
+    def columns(found: Column) -> Column:
+        def column(leaf: str) -> Column:
+            return F.filter(F.transform(found, lambda i: i[leaf]), lambda e: e.isNotNull()).alias(leaf)
 
-    def column(leaf: str) -> Column:
-        return F.filter(F.transform(found, lambda i: i[leaf]), lambda e: e.isNotNull()).alias(leaf)
+        return F.struct(*map(column, ITEM_LEAVES))
 
-    return F.struct(*map(column, ITEM_LEAVES))
+    segments = F.filter(X.spans(text, SEGMENT), lambda s: s["raw"].rlike(QUANTITY))
+    return let(F.filter(F.transform(segments, item), lambda i: i["whole"]), columns)
 
 
 def _extractor(text: Column, b: Binding, region: str, dayfirst: bool) -> Column:
@@ -182,6 +189,13 @@ def _extractor(text: Column, b: Binding, region: str, dayfirst: bool) -> Column:
 LEAF = "struct<path:string,values:array<string>,repeated:boolean,first:" + X.EXTRACTION + ">"
 
 
+def _scalar_leaf(path: str, picked: Column) -> Column:
+    def leaf(e: Column) -> Column:
+        return F.struct(F.lit(path).alias("path"), F.array(e["value"]).alias("values"), F.lit(False).alias("repeated"), e.alias("first")).cast(LEAF)
+
+    return let(picked, leaf)
+
+
 def prepass(docs: DataFrame, schema: str | Schema, text: str = "source_text", region: str = "US", dayfirst: bool = False) -> DataFrame:
     """docs with ``resolved`` (path, values, repeated, first extraction) and ``unresolved`` paths.
 
@@ -200,8 +214,7 @@ def prepass(docs: DataFrame, schema: str | Schema, text: str = "source_text", re
         out = out.withColumn("_items", line_items(body, F.col(Binding("money").column)))
     leaves = []
     for path, b in bindings.items():
-        e = select_match(body, F.col(b.column), b)
-        leaves.append(F.struct(F.lit(path).alias("path"), F.array(e["value"]).alias("values"), F.lit(False).alias("repeated"), e.alias("first")).cast(LEAF))
+        leaves.append(_scalar_leaf(path, select_match(body, F.col(b.column), b)))
     for leaf, path in items.items():
         found = F.col("_items")[leaf]
         leaves.append(F.struct(F.lit(path).alias("path"), F.transform(found, lambda e: e["value"]).alias("values"), F.lit(True).alias("repeated"), F.try_element_at(found, F.lit(1)).alias("first")).cast(LEAF))
@@ -211,6 +224,15 @@ def prepass(docs: DataFrame, schema: str | Schema, text: str = "source_text", re
     return out.withColumn("unresolved", F.array_sort(F.array_except(every, F.transform("resolved", lambda r: r["path"]))))
 
 
+def resolved_rows(done: DataFrame, key: str = "record_id") -> DataFrame:
+    """(key, path, values, repeated, first): one row a resolved field.
+
+    The outer form of inline, since the filter that the optimiser infers for the other one
+    would evaluate every extractor again.
+    """
+    return done.select(key, F.inline_outer("resolved")).filter("path is not null")
+
+
 def residual_prompt(fields: Column, text: Column) -> Column:
     """A request for the listed fields of a document."""
     return F.concat(
