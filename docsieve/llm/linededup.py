@@ -90,7 +90,7 @@ def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, width: in
     return value
 
 
-def _lines(batch: pa.RecordBatch, limit: int = 2 << 20):
+def _lines(batch: pa.RecordBatch, limit: int = 1 << 20):
     """Lists of different non-empty lines with about ``limit`` code points in each."""
     seen: dict[str, None] = {}
     size = 0
@@ -119,11 +119,11 @@ def _banded(bands, rows, batch):
 
 
 def _texts(batch: pa.RecordBatch):
-    for lines in _lines(batch, 8 << 20):
+    for lines in _lines(batch, 2 << 20):
         yield pa.RecordBatch.from_arrays([pa.array(_node(lines).view(np.int64)), pa.array(lines, pa.string())], ["node", "line"])
 
 
-def near_matrix(lines: list[str], threshold: float = THRESHOLD, cells: int = 16 << 20) -> np.ndarray:
+def near_matrix(lines: list[str], threshold: float = THRESHOLD, cells: int = 4 << 20) -> np.ndarray:
     """lines x lines: whether the Jaccard similarity of the shingle sets is at least the threshold."""
     h, line = shingle_hashes(lines)
     order = np.lexsort((line, h))
