@@ -69,7 +69,7 @@ ORACLE: dict[str, str] = {
           UNION ALL SELECT o_orderkey, 'vendor_phone', '+14155552671' FROM o UNION ALL SELECT o_orderkey, 'total_amount', {_PRICE}::VARCHAR FROM o
           UNION ALL SELECT o_orderkey, 'tax_amount', cast({_PRICE} * 0.08 AS DECIMAL(12,2))::VARCHAR FROM o)""",
     "line_items": """WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1 AS item, l_quantity::INT AS q, cast(l_extendedprice AS DECIMAL(12,2)) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-        SELECT l_orderkey AS record_id, 'line_items[].' || n AS path, item::INT AS item, CASE n WHEN 'quantity' THEN q::DECIMAL(12,2) WHEN 'unit_price' THEN cast(t::DECIMAL(24,12) / q AS DECIMAL(12,2)) ELSE t END AS value
+        SELECT l_orderkey AS record_id, 'line_items[].' || n AS path, item::INT AS item, CASE n WHEN 'quantity' THEN q::DECIMAL(12,2) WHEN 'unit_price' THEN cast(((t * 100)::BIGINT * 2 + q) // (2 * q) / 100.0 AS DECIMAL(12,2)) ELSE t END AS value
         FROM l, (VALUES ('quantity'), ('unit_price'), ('line_total')) v(n)""",
     "unresolved_fields": """SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN 'customer_email,intent,issue_category,product,resolution_status,sentiment,urgency'
         ELSE 'created_date,customer_email,intent,issue_category,product,resolution_status,sentiment,ticket_id,urgency' END AS unresolved FROM orders""",
