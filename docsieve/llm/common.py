@@ -54,6 +54,17 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def as_struct(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``_doc``, so that a join adds no name that clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def from_struct(df: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of ``_doc`` with another text, and n_chars to match if there is such a column."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return df.select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in columns])
+
+
 def arrow_map(
     df: DataFrame, schema: str, one: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]
 ) -> DataFrame:

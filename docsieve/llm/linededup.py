@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, only, staged
+from .common import arrow_map, as_struct, from_struct, mix64, only, staged
 from .components import components
 from .sharing import shared_rows
 
@@ -225,10 +225,9 @@ def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with repeated lines gone from the text; a document left without any line that is not empty goes."""
     gone = _removed(docs, threshold).withColumnsRenamed({"doc_id": "_id", "row": "_row", "gone": "_gone"})
-    joined = docs.join(gone, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_row")), "left")
-    lines = F.split(docs["text"], "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept)
-    named = {"text": text} | ({"n_chars": F.length(text)} if "n_chars" in docs.columns else {})
+    whole = as_struct(docs)  # one column, so that none clashes
+    text = F.col("_doc.text")
+    joined = whole.join(gone, (F.col("_doc.doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_row")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.filter(F.col("_gone").isNull() | (F.trim(kept, F.lit(_ENDS + "\n")) != ""))
-    return out.select(*[named[c].alias(c) if c in named else docs[c] for c in docs.columns])
+    return from_struct(out, docs.columns, F.when(F.col("_gone").isNull(), text).otherwise(kept))

@@ -158,6 +158,8 @@ class ArchiveReader(DataSourceReader):
         ]
 
     def read(self, partition):
+        if partition is None:  # no archive at all
+            return
         system, name = _file(partition.path)
         source = system.open_input_file(name)
         magic, directory, count = TRAILER.unpack(source.read_at(TRAILER.size, source.size() - TRAILER.size))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, only, staged, word_count
+from .common import WORD, as_struct, from_struct, only, staged, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -249,13 +249,11 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row for each time one is taken, cut to its first words where the target falls."""
-    columns = docs.columns
     plan = mix(docs, **how).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
-    joined = docs.withColumn("_words", word_count(docs["text"])).join(
-        plan, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    text = F.col("_doc.text")
+    joined = as_struct(docs).withColumn("_words", word_count(text)).join(
+        plan, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
     )
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
-    text = F.when(F.col("taken") < F.col("_size"), part).otherwise(docs["text"])
-    named = {"text": text} | ({"n_chars": F.length(text)} if "n_chars" in columns else {})
-    return joined.select(*[named[c].alias(c) if c in named else docs[c] for c in columns])
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), " ")
+    return from_struct(joined, docs.columns, F.when(F.col("_taken") < F.col("_size"), part).otherwise(text))
