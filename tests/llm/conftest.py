@@ -3,15 +3,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from llm_texts import sentence
 from pyspark.sql import types as T
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-
-
-def sentence(rng: random.Random, n: int) -> str:
-    return " ".join(f"{rng.choice(WORDS)}{rng.randrange(400)}" for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with nulls in every column, empty and long texts, repeated rows, and columns with clashing names."""

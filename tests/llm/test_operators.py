@@ -13,7 +13,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
-from conftest import sentence
+from llm_texts import sentence
 from pyspark.sql import functions as F
 
 from docsieve.llm import ann, components, langid, linededup, media, mixing, packing, secrets, simhash, substring, toxicity
