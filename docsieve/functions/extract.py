@@ -19,6 +19,8 @@ from .text import CODES, CURRENCY, MONTH, NUMBER, let, make_date, month_number,
 SPAN = "struct<start:int,end:int,raw:string>"
 EXTRACTION = "struct<value:string,start:int,end:int,raw:string,extractor:string,confidence:double>"
 
+#: Matches whose places are summed at a time.
+BLOCK = 64
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 EMAIL = rf"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9.!#$%&'*+/=?^_`{{|}}~-]*[A-Za-z0-9])?@{_LABEL}(?:\.{_LABEL})++"
 URL = r"""(?i)\b(?:https?://|www\.)[^\s<>"']+"""
@@ -48,11 +50,22 @@ def spans(text: Column, pattern: str) -> Column:
 
         return let(a["at"] + F.length(z["g"]), after)
 
+    # Running places are built up in blocks, since an array that grows by one is copied each time.
+    def blocks(pairs: Column) -> Column:
+        last = F.floor((F.size(pairs) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), start, step))
+
+    def joined(parts: Column) -> Column:
+        kind = "struct<at:int,out:array<int>>"
+        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")).cast(kind)
+        before = F.aggregate(parts, zero, lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")).cast(kind))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, o: F.transform(p["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["raw"].alias("raw")).cast(SPAN))))
+
     def placed(matches: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
         pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
         none = F.expr(f"cast(array() as array<{SPAN}>)")
-        return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(pairs, start, step)["out"])
+        return F.when(F.size(matches) == 0, none).otherwise(let(let(pairs, blocks), joined))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -153,15 +166,26 @@ def identifiers(text: Column, patterns: Sequence[str]) -> Column:
 
 
 def resolve_overlaps(found: Column) -> Column:
-    """Of overlapping extractions the longest; of equal ones the surer, then the earlier."""
-    keyed = F.transform(found, lambda e: F.struct((e["start"] - e["end"]).alias("l"), (-e["confidence"]).alias("c"), e["start"].alias("s"), e.alias("e")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["e"])
+    """Of overlapping extractions the longest; of equal ones the surer, then the earlier.
+
+    Where neighbours by start do not overlap nothing does, and the extractions stay as they are.
+    """
 
     def keep(kept: Column, e: Column) -> Column:
         clash = F.exists(kept, lambda k: (e["start"] < k["end"]) & (k["start"] < e["end"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(e)))
 
-    return by_start(F.aggregate(ordered, F.expr(f"cast(array() as array<{EXTRACTION}>)"), lambda k, e: keep(k, e).cast(f"array<{EXTRACTION}>")))
+    def greedy(found: Column) -> Column:
+        keyed = F.transform(found, lambda e: F.struct((e["start"] - e["end"]).alias("l"), (-e["confidence"]).alias("c"), e["start"].alias("s"), e.alias("e")))
+        ordered = F.transform(F.array_sort(keyed), lambda k: k["e"])
+        return by_start(F.aggregate(ordered, F.expr(f"cast(array() as array<{EXTRACTION}>)"), lambda k, e: keep(k, e).cast(f"array<{EXTRACTION}>")))
+
+    def apart(found: Column) -> Column:
+        after = F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
+        touching = F.zip_with(F.slice(found, F.lit(1), F.size(after)), after, lambda a, b: a["end"] > b["start"])
+        return F.when(F.exists(touching, lambda t: t), greedy(found)).otherwise(found)
+
+    return let(by_start(found), apart)
 
 
 def extremum(found: Column, largest: bool) -> Column:

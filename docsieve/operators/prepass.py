@@ -139,16 +139,20 @@ def money_after(segment: Column, marker: str, amounts: Column) -> Column:
     return F.try_element_at(F.filter(amounts, lambda m: (at > 0) & (m["start"] >= segment["start"] + at - 1)), F.lit(1))
 
 
-def line_items(text: Column, amounts: Column) -> Column:
+def line_items(text: Column) -> Column:
     """struct<quantity, unit_price, line_total> of extraction arrays, one entry a line item.
 
     A segment up to a line or sentence end is an item if it has a quantity (``x 4`` or
     ``4 @``) and an amount.  A single amount is the line's total; else the price follows
-    ``@`` and the total ``=``.
+    ``@`` and the total ``=``.  Amounts are looked for in the segments that have a quantity,
+    so the work grows with the text and not with segments times amounts.
     """
 
     def item(s: Column) -> Column:
-        inside = F.filter(amounts, lambda m: (s["start"] <= m["start"]) & (m["end"] <= s["end"]))
+        def moved(m: Column) -> Column:
+            return F.struct(m["value"], (m["start"] + s["start"]).alias("start"), (m["end"] + s["start"]).alias("end"), m["raw"], m["extractor"], m["confidence"]).cast(X.EXTRACTION)
+
+        inside = F.transform(X.resolve_overlaps(X.money(s["raw"])), moved)
         quantity = F.try_element_at(X.spans(s["raw"], QUANTITY), F.lit(1))
         return let(F.struct(s.alias("s"), inside.alias("m"), quantity.alias("q")), parts)
 
@@ -206,12 +210,10 @@ def prepass(docs: DataFrame, schema: str | Schema, text: str = "source_text", re
     kinds = {b.column: b for b in bindings.values()}
     items = {f.path.rsplit(".", 1)[1]: f.path for f in spec.fields if f.repeated and f.owner == "rule"}
     items = {leaf: path for leaf, path in items.items() if leaf in ITEM_LEAVES}
-    if items:
-        kinds.setdefault(Binding("money").column, Binding("money"))
     body = F.col(text)
     out = docs.withColumns({name: _extractor(body, b, region, dayfirst) for name, b in kinds.items()})
     if items:
-        out = out.withColumn("_items", line_items(body, F.col(Binding("money").column)))
+        out = out.withColumn("_items", line_items(body))
     leaves = []
     for path, b in bindings.items():
         leaves.append(_scalar_leaf(path, select_match(body, F.col(b.column), b)))
