@@ -227,7 +227,7 @@ def identify(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
 
 
 def _predicted(model, batch):
-    for chunk in text_chunks(batch, limit=2 << 20):
+    for chunk in text_chunks(batch, limit=1 << 19):
         lang, score = identify(model, chunk["text"])
         held = [None if i is None else zlib.crc32(str(i).encode()) % 4 == 2 for i in chunk["doc_id"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -244,7 +244,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def _keep(model, column, batch):
-    for chunk in text_chunks(batch, limit=2 << 20):
+    for chunk in text_chunks(batch, limit=1 << 19):
         lang, _ = identify(model, chunk[column])
         yield chunk.filter(pa.array([x != UNKNOWN for x in lang]))
 

@@ -90,7 +90,7 @@ def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, width: in
     return value
 
 
-def _lines(batch: pa.RecordBatch, limit: int = 1 << 20):
+def _lines(batch: pa.RecordBatch, limit: int = 1 << 19):
     """Lists of different non-empty lines with about ``limit`` code points in each."""
     seen: dict[str, None] = {}
     size = 0
