@@ -202,7 +202,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = staged(lines)
     of_class = lines.join(found, "node", "left").select("doc_id", "row", "line_no", F.coalesce("root", "node").alias("class"))
     first = of_class.groupBy("class").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return of_class.join(first.drop("n"), "class").filter(F.struct("doc_id", "row", "line_no") != F.col("first")).select("doc_id", "row", "line_no")
+    first = staged(first.drop("n"))  # a table of its own, so that a frequent class can be split over tasks
+    return of_class.join(first, "class").filter(F.struct("doc_id", "row", "line_no") != F.col("first")).select("doc_id", "row", "line_no")
 
 
 def _removed(docs: DataFrame, threshold: float) -> DataFrame:

@@ -236,7 +236,8 @@ def removals(docs: DataFrame, window: int = WINDOW, stretches: int = STRETCHES,
     text = F.coalesce("text", F.lit(""))
     d = only(docs, "doc_id", "text").select("doc_id", text.alias("text")).filter("doc_id is not null")
     ids = staged(d.select("doc_id", F.xxhash64("text").alias("row"), F.xxhash64(F.lit("check"), "text").alias("check")))
-    least = ids.groupBy("row", "check").agg(F.min("doc_id").alias("least"))
+    # a table of its own, so that a large group of copies can be split over tasks
+    least = staged(ids.groupBy("row", "check").agg(F.min("doc_id").alias("least")))
     shared = staged(shared_rows(d, partial(_anchor_rows, window)).distinct())
     many = shared.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
     many = many.select("value", F.ceil(F.col("n") / (hot / 2)).cast("int").alias("salts"))
