@@ -126,6 +126,8 @@ ORACLE: dict[str, str] = {
     "fit_holdout_split": f"""WITH {_SCORED}, t AS (SELECT y, (row_number() OVER (ORDER BY event_id) - 1) % 2 AS odd FROM s) SELECT CASE odd WHEN 0 THEN 'fit' ELSE 'holdout' END AS part, count(*) AS n, count(*) FILTER (y) AS y FROM t GROUP BY odd""",
     "sequence_confidence": """WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 WHEN (event_id + 1) % 3 = 2 THEN 1 ELSE 2 END AS n FROM events)
         SELECT event_id, round(CASE n WHEN 0 THEN 0 WHEN 1 THEN exp(-(event_id % 5) / 10.0) ELSE exp(-((event_id % 5) + (event_id + 1) % 5) / 20.0) END, 6) AS c FROM x""",
+    "record_f1": f"WITH {_RECORDS} SELECT k AS record_id, round(2 * n_correct / (n_predicted + n_reference), 6) AS f1 FROM e",
+    "public_text": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 500) ELSE source END AS t FROM documents",
     "failure_categories": f"""WITH {_RECORDS}, {_FAILURES} SELECT c AS category, count(category) AS n FROM (SELECT unnest({_CATEGORIES!r}) AS c) LEFT JOIN f ON category = c GROUP BY c""",
     "failure_by_schema": f"WITH {_RECORDS}, {_FAILURES} SELECT category, schema, count(*) AS n FROM f GROUP BY 1, 2",
     "failure_by_operator": f"""WITH {_RECORDS}, {_FAILURES} SELECT category, operator, count(*) AS n FROM f, (VALUES ('typo'), ('ambiguate')) t(operator) WHERE operator = 'typo' OR amb GROUP BY 1, 2""",

@@ -25,6 +25,7 @@ from ..operators import prepass as P
 from ..sources import corrupt as CO
 from ..sources import jsonl
 from ..sources.seeds import seeds
+from .reports import confidence_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -448,6 +449,23 @@ def sequence_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.round(C.sequence_confidence(F.col("p"), F.col("t"), [2]), 6).alias("c"))
 
 
+@query
+def confidence_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evaluated(spark, sf_dir).withColumn("c", F.pmod(F.col("record_id") * 37, F.lit(101)) / 100)
+    return rounded(confidence_report(e, "c", steps=50))
+
+
+@query
+def record_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(spark, sf_dir).select("record_id", F.round(M.field_f1(), 6).alias("f1"))
+
+
+@query
+def public_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("text"), F.col("source").alias("input"))
+    return d.select("doc_id", jsonl.document_text(d).alias("t"))
+
+
 # failures -------------------------------------------------------------------
 
 

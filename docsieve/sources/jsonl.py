@@ -92,3 +92,19 @@ def scraped(log: Column) -> Column:
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
     """path and sha256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A training corpus: schema, source_text, reference (JSON text) and tags, not validated."""
+    return spark.read.schema("schema string, source_text string, reference string, tags array<string>").json(path)
+
+
+def report_field(report: Column, name: str) -> Column:
+    """A field of a report's JSON text, or null if there is no such report or field."""
+    return F.try_variant_get(F.try_parse_json(report), f"$.{name}", "string")
+
+
+def document_text(df: DataFrame, length: int = 500) -> Column:
+    """The text of a row of some public dataset: its text, else its input, else the whole row, cut for display."""
+    named = [F.col(c).cast("string") for c in ("text", "input") if c in df.columns]
+    return F.substring(F.coalesce(*named, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), 1, length)

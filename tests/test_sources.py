@@ -91,3 +91,17 @@ def test_streams(spark, tmp_path):
 def test_fences_and_tail(spark):
     df = spark.createDataFrame([("```\n{\"a\": [1]}",)], "t string")
     assert df.select(J.find_object(F.col("t")).alias("x")).first().x == '{"a": [1]}'
+
+
+def test_command_line(spark, tmp_path):
+    from docsieve.sources.generate import main, split_names
+
+    out = str(tmp_path / "c.jsonl")
+    assert main(["--schemas", "email,form", "--n", "2", "--severities", "0,1.0", "--operators", "typo", "--out", out], spark) == 8
+    assert jsonl.read_corpus(spark, out).filter("schema = 'form'").count() == 4 and jsonl.read_records(spark, out).count() == 8
+    assert split_names(["a, b", "c", ",", ""]) == ["a", "b", "c"] and split_names(None) == []
+
+
+def test_report_fields(spark):
+    df = spark.createDataFrame([('{"f1": 0.5}',), ("no",), (None,)], "r string")
+    assert [r.x for r in df.select(jsonl.report_field(F.col("r"), "f1").alias("x")).collect()] == ["0.5", None, None]
