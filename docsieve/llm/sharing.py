@@ -19,11 +19,18 @@ Rows = tuple[np.ndarray, np.ndarray]
 
 def _runs(value: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows by (value, node), where each value begins, and whether it has two nodes."""
-    order = np.lexsort((node, value))
+    order = np.argsort(value, kind="stable")
     value, node = value[order], node[order]
-    if len(value):
-        fresh = np.ones(len(value), bool)
-        fresh[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
+    again = np.zeros(len(value), bool)
+    again[1:] = value[1:] == value[:-1]
+    if again.any():  # only rows of repeated values need their nodes in order
+        some = again.copy()
+        some[:-1] |= again[1:]
+        at = np.flatnonzero(some)
+        at = at[np.lexsort((node[at], value[at]))]
+        node[some] = node[at]
+        fresh = ~again
+        fresh[1:] |= node[1:] != node[:-1]
         value, node = value[fresh], node[fresh]
     first = np.ones(len(value), bool)
     first[1:] = value[1:] != value[:-1]
