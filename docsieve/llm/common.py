@@ -65,6 +65,27 @@ def from_struct(df: DataFrame, columns: list[str], text: Column) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in columns])
 
 
+def text_hash(text: Column | None = None) -> Column:
+    """The hash that stands for a row's text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the rows of ``gone``, and with one row for those of ``repeated`` (the least by all columns).
+
+    Both have doc_id and row (hash of the text), different ones.
+    """
+    whole = as_struct(docs).withColumn("_row", text_hash(F.col("_doc.text")))
+
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        k = keys.select(F.col("doc_id").alias("k_id"), F.col("row").alias("k_row"))
+        return whole.join(k, F.col("_doc.doc_id").eqNullSafe(F.col("k_id")) & (F.col("_row") == F.col("k_row")), how)
+
+    single = of(gone.union(repeated), "left_anti").select("_doc")
+    one = of(repeated, "left_semi").groupBy(F.col("_doc.doc_id").alias("k_id"), "_row").agg(F.min("_doc").alias("_doc")).select("_doc")
+    return from_struct(single.union(one), docs.columns, F.col("_doc.text"))
+
+
 def arrow_map(
     df: DataFrame, schema: str, one: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]
 ) -> DataFrame:
