@@ -15,8 +15,10 @@ document is ever sorted with all others of its source, so a hot source is spread
 blocks.  The same seed and rows give the same mix.
 
 Defined results: null text has no words and is taken 0 times; null source is a source of
-its own, after all others; rows equal in doc_id, source and size are one document, and
-others that share a doc_id are different ones; ties in hash order go by doc_id and size;
+its own, after all others; every row is in the mix, also where rows share a doc_id or have
+none; rows equal in doc_id, source and text are copies of one document, each dealt and taken
+by itself, and one row of ``taken_words`` with the words of all copies; ties in hash order
+go by doc_id, size, hash of the text and copy;
 an empty table gives an empty mix; other columns are ignored.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, as_struct, from_struct, only, staged, word_count
+from .common import WORD, as_struct, from_struct, only, staged, text_hash, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -78,6 +80,12 @@ def _unit(*of: Column | str) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *of), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def _document(*more: Column | str) -> Column:
+    """A seeded hash of a row; without a doc_id, and for copies, it takes the text's hash and the copy's number too."""
+    own = F.col("doc_id").isNotNull() & (F.col("copy") == 0)
+    return F.when(own, F.xxhash64(F.lit(SEED), "doc_id", *more)).otherwise(F.xxhash64(F.lit(SEED), "doc_id", "row", "copy", *more))
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once; a repeated Column would be evaluated at every mention."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -177,7 +185,7 @@ def block_plan(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sizes with its block, the targets, and the chosen blocks.
 
-    sizes has doc_id, source, size.  The chosen blocks are (source, block, pass, words,
+    sizes has doc_id, source, size, row (hash of the text), copy.  The chosen blocks are (source, block, pass, words,
     shard, place): words is how much of the block is taken, all of it but for the last.
     """
     targets = staged(source_targets(sizes, weights, share, most))
@@ -185,7 +193,7 @@ def block_plan(
     joined = sizes.join(
         targets.select(F.col("source").alias("s"), "source_size", "target"), sizes["source"].eqNullSafe(F.col("s"))
     )
-    dealt = joined.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), count).cast("int")).drop("s")
+    dealt = joined.withColumn("block", F.pmod(_document(), count).cast("int")).drop("s")
     blocks = dealt.filter("size > 0").groupBy("source", "block").agg(
         F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     )
@@ -218,42 +226,60 @@ def block_plan(
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix: one row per document and pass that takes words of it.
+    """The mix: one row per row of docs and pass that takes words of it.
 
-    doc_id, source, size, source_size, target, pass, taken (the document's first words
+    doc_id, source, row (hash of the text), copy and copies (its number among equal rows, and how many there
+    are), size, source_size, target, pass, taken (the document's first words
     where it is cut), shard and shuffle_key.  A shard's rows sorted by shuffle_key are its
     local shuffle.  Documents that no pass takes have one row with pass, shard and
     shuffle_key null and taken 0.
     """
-    sizes = staged(only(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size")).distinct())
+    rows = only(docs, "doc_id", "source", "text").select("doc_id", "source", text_hash().alias("row"), word_count(F.col("text")).alias("size"))
+    rows = rows.groupBy("doc_id", "source", "row", "size").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = staged(rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))))
     dealt, _, placed = block_plan(sizes, **how)
     p = placed.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "words", "take", "shard", "place")
     whole = dealt.join(p.filter("take = words").drop("words", "take", "place"), dealt["source"].eqNullSafe(F.col("s")) & (dealt["block"] == F.col("b")) & (dealt["size"] > 0), "left")
     whole = whole.drop("s", "b").withColumn("taken", F.when(F.col("pass").isNotNull(), F.col("size")).otherwise(0))
     cut = dealt.join(p.filter("take < words").drop("place"), dealt["source"].eqNullSafe(F.col("s")) & (dealt["block"] == F.col("b")) & (dealt["size"] > 0)).drop("s", "b")
     # one cut block a source: running words inside that block only
-    inside = W.partitionBy("source", "block", "pass").orderBy(F.xxhash64(F.lit(SEED), "doc_id", "pass"), "doc_id", "size")
+    inside = W.partitionBy("source", "block", "pass").orderBy(_document("pass"), "doc_id", "size", "row", "copy")
     cut = cut.withColumn("before", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
     cut = cut.withColumn("taken", F.least("size", F.col("take") - F.col("before"))).filter("taken > 0")
-    names = ["doc_id", "source", "size", "source_size", "target", "pass", "taken", "shard"]
+    names = ["doc_id", "source", "row", "copy", "copies", "size", "source_size", "target", "pass", "taken", "shard"]
     out = whole.select(names).union(cut.select(names))
-    return out.withColumn("shuffle_key", F.when(F.col("pass").isNotNull(), F.xxhash64(F.lit(SEED), "shard", "doc_id", "pass")))
+    key = F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), F.xxhash64(F.lit(SEED), "shard", "doc_id", "pass"))
+    key = F.coalesce(key, F.xxhash64(F.lit(SEED), "shard", "doc_id", "row", "copy", "pass"))
+    return out.withColumn("shuffle_key", F.when(F.col("pass").isNotNull(), key))
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per document."""
-    return mix(docs, **how).groupBy("doc_id", "source", "size").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken")
-    ).drop("source")
+    """doc_id, size, source_size, target, taken: one row per document, for the words of all its copies."""
+    taken = mix(docs, **how).groupBy("doc_id", "source", "row").agg(
+        (F.first("size") * F.first("copies")).alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken")
+    )
+    return taken.drop("source", "row")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row for each time one is taken, cut to its first words where the target falls."""
     plan = mix(docs, **how).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = staged(plan.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "row", "copy", "copies", "size", "taken")]))
     text = F.col("_doc.text")
-    joined = as_struct(docs).withColumn("_words", word_count(text)).join(
-        plan, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    rows = as_struct(docs).withColumn("_text", text_hash(text))
+    same = F.col("_doc.doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_row"))
+    names = ("_doc", "_taken", "_size")
+    joined = rows.join(plan.filter("_copies = 1"), same).select(*names)
+    # copies are numbered in the order of their other columns; rows equal in all are counted, not ranked
+    several = plan.filter("_copies > 1")
+    keys = ("_doc_id", "_source", "_row")
+    alike = rows.join(several.select(*keys).distinct(), same).groupBy(*keys, "_doc").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_doc").rowsBetween(W.unboundedPreceding, W.currentRow))
+    each = alike.withColumn("_upto", upto).select(
+        F.col("_doc"), F.col("_doc_id").alias("k_id"), F.col("_source").alias("k_source"), F.col("_row").alias("k_row"),
+        F.explode(F.sequence(F.col("_upto") - F.col("_n"), F.col("_upto") - 1)).alias("k_copy"),
     )
+    mine = F.col("k_id").eqNullSafe(F.col("_doc_id")) & F.col("k_source").eqNullSafe(F.col("_source")) & (F.col("k_row") == F.col("_row"))
+    joined = joined.union(each.join(several, mine & (F.col("k_copy") == F.col("_copy"))).select(*names))
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), " ")
     return from_struct(joined, docs.columns, F.when(F.col("_taken") < F.col("_size"), part).otherwise(text))
