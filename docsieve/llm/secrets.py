@@ -3,8 +3,8 @@
 Every document is scanned for the parts of credentials:
 
 * assign, access, hex: the base patterns, reported wherever they match;
-* secret: a run of 32 to 64 characters of the base-64 alphabet with letters of both cases
-  and digits, which alone could be any identifier, so a weak candidate;
+* secret: a run of 32 or more characters of either base-64 alphabet (+ / or - _) with letters
+  of both cases and digits, which alone could be any identifier, so a weak candidate;
 * user: a user, account, client or key name that is set to a value, a weak candidate too;
 * endpoint: a URL, host with port, IPv4 address or a bucket or host that is set to a value.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
 
-SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{32,}|[A-Za-z0-9_-]{32,})={0,2}(?![A-Za-z0-9+/=_-])")
 USER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|account|login|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(
     r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9.])|(?<![A-Za-z0-9])(?:host|endpoint|bucket|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{3,}""",
@@ -91,15 +92,18 @@ def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) ->
     everything = sorted([*base, *weak])
     ids = [s for s in everything if KINDS[s.kind] in IDENTIFIERS]
     proofs = [s for s in everything if KINDS[s.kind] in PROOFS]
-    sides = [(x, [s.start for s in x]) for x in (ids, proofs)]
+    # ends as running maxima, so that they ascend as well; a part reaches into the scope if it ends at or behind its low end
+    sides = [(x, [s.start for s in x], list(accumulate((s.end for s in x), max))) for x in (ids, proofs)]
 
     def has(side: int, s: Span) -> bool:
-        spans, starts = sides[side]
+        spans, starts, ends = sides[side]
         at = bisect_right(borders, s.start)
-        low = max(s.start - reach, borders[at - 1] if at else 0)
-        high = min(s.end + reach, borders[at] if at < len(borders) else len(text))
-        a, b = bisect_left(starts, low), bisect_right(starts, high)
-        return b - a > sum(1 for x in spans[a:b] if x == s)
+        begin, end = borders[at - 1] if at else 0, borders[at] if at < len(borders) else len(text)
+        low, high = max(s.start - reach, begin), min(s.end + reach, end)
+        # no part spans a border, so those from the paragraph's first on are inside of it
+        a, b = max(bisect_left(ends, low), bisect_left(starts, begin)), bisect_right(starts, high)
+        own = bisect_left(spans, s)
+        return b - a > (a <= own < b and spans[own] == s)
 
     need = {"secret": (0,), "user": (1,), "endpoint": (0, 1)}
     return [s for s in weak if all(has(side, s) for side in need[KINDS[s.kind]])]
