@@ -8,8 +8,10 @@ words, with a penalty for every switch, labels spans; the text's language is the
 the most letters in its spans, and the score is its share of the letters, brought down by
 how unsure the path was.
 
-Training reads text and language of at most ``TRAIN_ROWS`` rows that are not held out, the
-first in hash order, whole texts.  Everything is counted in numpy: trigram counts in
+Training reads text and language of about ``TRAIN_ROWS`` rows that are not held out, the
+first of each language in hash order, whole texts: as many rows of every language as there
+are or as bring the sum to ``TRAIN_ROWS``, but of a language with up to ``LEAST_ROWS`` rows
+always all.  So a language is learned at any size of the table.  Everything is counted in numpy: trigram counts in
 ``CELLS`` hashed cells a language.  doc_id, source and language are never inputs of a
 prediction.
 
@@ -35,6 +37,8 @@ from .common import arrow_map, only, text_chunks
 from .toxicity import held_out
 
 TRAIN_ROWS = 12_000
+#: So many rows of a language are read however many languages share TRAIN_ROWS.
+LEAST_ROWS = 500
 CELLS = 1 << 16
 SWITCH = 12.0
 SCRIPT_SHARE = 0.01
@@ -116,6 +120,16 @@ def _counts(languages, batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[at])], ["k", "v"])
 
 
+def rows_each(counts: list[int], rows: int, least: int = LEAST_ROWS) -> float:
+    """How many rows a language has at most, so that the smaller of that and its count sum to ``rows``."""
+    left = rows
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) >= left:
+            return max(left / (len(counts) - i), least)
+        left -= n
+    return max(*counts, least)
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Trigram tables from rows that are not held out; the driver gets CELLS counts a language."""
     d = only(docs, "doc_id", "text", "lang").filter(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -123,9 +137,12 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((CELLS, 0)), np.zeros((len(NAMES), 0), bool))
-    # a share of the hash range that holds about so many rows
-    share = min(1.0, rows / sum(counts.values()))
-    d = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    # for each language a share of the hash range that holds about so many of its rows
+    most = rows_each(list(counts.values()), rows)
+    shares = {k: int(min(1.0, most / n) * (1 << 40)) for k, n in counts.items()}
+    if min(shares.values()) < 1 << 40:
+        upto = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        d = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.element_at(upto, F.col("lang")))
     total = np.zeros(len(languages) * (CELLS + len(NAMES)), np.int64)
     for r in d.select("text", "lang").mapInArrow(partial(_counts, languages), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[r["k"]] = r["v"]
