@@ -21,7 +21,8 @@ A line's class keeps the occurrence that comes first by (doc_id, line number).
 lines are never duplicates.
 
 Defined results: null text is one empty line; repeated rows have repeated lines, of which
-the first row's stay (ties go by the text's hash); an empty table gives an empty table;
+the first row's stay (ties go by the text's hash, null doc_ids are first); of rows equal in doc_id
+and text one is the first, and the others lose all lines; an empty table gives an empty table;
 other columns keep their values.
 """
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_struct, from_struct, mix64, only, staged
+from .common import arrow_map, as_struct, from_struct, mix64, only, staged, text_hash, without_rows
 from .components import components
 from .sharing import shared_rows
 
@@ -204,8 +205,15 @@ def near_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     return arrow_map(full.select("bucket"), "a long, b long", partial(_join_buckets, threshold))
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row (hash of the text), line_no of every line that another one stands for."""
+def _repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), n_lines and n, how many rows of docs have both."""
+    size = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    rows = only(docs, "doc_id", "text").select("doc_id", text_hash().alias("row"), size.alias("n_lines"))
+    return rows.groupBy("doc_id", "row", "n_lines").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _lines_and_repeated(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row, line_no of every line that is not empty, and of those that another row's or line's stands for."""
     parts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x, F.lit(_ENDS)))
     hashes = F.transform(parts, lambda x: F.when(x != "", F.xxhash64(x)))
     # the outer form: for the other the optimiser infers a filter that splits and hashes a second time
@@ -216,32 +224,47 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of_class = lines.join(found, "node", "left").select("doc_id", "row", "line_no", F.coalesce("root", "node").alias("class"))
     first = of_class.groupBy("class").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = staged(first.drop("n"))  # a table of its own, so that a frequent class can be split over tasks
-    return of_class.join(first, "class").filter(F.struct("doc_id", "row", "line_no") != F.col("first")).select("doc_id", "row", "line_no")
+    gone = of_class.join(first, "class").filter(~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "row", "line_no")
+    return lines.select("doc_id", "row", "line_no"), gone
+
+
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, row (hash of the text), line_no of every line that another one stands for; of equal rows, of the first."""
+    return _lines_and_repeated(docs, threshold)[1]
 
 
-def _removed(docs: DataFrame, threshold: float) -> DataFrame:
-    """The numbers of the lines to remove, by doc_id and row (hash of the text)."""
-    return repeated_lines(docs, threshold).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+def _numbers(lines: DataFrame, name: str) -> DataFrame:
+    """The numbers of lines, by _id and _row (hash of the text)."""
+    by = lines.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line_no")).alias(name))
+    return by.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
 
 
 def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (their numbers from 0, comma-joined) of every row."""
-    rows = only(docs, "doc_id", "text").select(
-        "doc_id",
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"),
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
-    )
-    joined = rows.join(_removed(docs, threshold), ["doc_id", "row"], "left")
+    lines, repeated = _lines_and_repeated(docs, threshold)
+    rows = staged(_repeats(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+    firsts = rows.select("doc_id", "row", "n_lines").join(_numbers(repeated, "gone"), same, "left").select("doc_id", "n_lines", "gone")
+    others = rows.filter("n > 1")
+    keys = others.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    every = _numbers(lines.join(keys, same, "left_semi"), "gone")
+    others = others.join(every, same, "left").withColumn("_", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).select("doc_id", "n_lines", "gone")
     gone = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
-    return joined.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+    return firsts.union(others).select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with repeated lines gone from the text; a document left without any line that is not empty goes."""
-    gone = _removed(docs, threshold).withColumnsRenamed({"doc_id": "_id", "row": "_row", "gone": "_gone"})
+    lines, repeated = _lines_and_repeated(docs, threshold)
+    gone = _numbers(repeated, "_gone")
+    several = _repeats(docs).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    # a row of empty lines loses none, and its repeats stay
+    several = lines.join(several, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi").select("doc_id", "row").distinct()
+    several = staged(several)
+    docs = without_rows(docs, several.limit(0), several)
     whole = as_struct(docs)  # one column, so that none clashes
     text = F.col("_doc.text")
-    joined = whole.join(gone, (F.col("_doc.doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_row")), "left")
+    joined = whole.join(gone, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (text_hash(text) == F.col("_row")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.filter(F.col("_gone").isNull() | (F.trim(kept, F.lit(_ENDS + "\n")) != ""))
     return from_struct(out, docs.columns, F.when(F.col("_gone").isNull(), text).otherwise(kept))

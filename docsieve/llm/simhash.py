@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, only, staged, text_chunks, utf8
+from .common import arrow_map, only, staged, text_chunks, text_hash, utf8, without_rows
 from .components import components
 
 BITS = 64
@@ -241,6 +241,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int = PARTS,
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without those whose component holds a smaller doc_id (repeats of it stay)."""
+    """The rows of docs without those whose component holds a smaller doc_id; of rows equal in doc_id and text one stays."""
     gone = near_duplicates(docs, **how).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = only(left, "doc_id", "text").select("doc_id", text_hash().alias("row"))
+    repeated = staged(rows.groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row"))
+    return without_rows(left, repeated.limit(0), repeated)
