@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 NUMBER = "decimal(38,10)"
 CURRENCY = "[$€£¥₹]"
+#: Space, no-break space and thin space.
+BLANKS = "[\x20\u00a0\u2009]"
 #: ISO currency codes that mark an amount.
 CODES = "USD|EUR|GBP|JPY|CNY|CHF|CAD|AUD|SEK|NOK|DKK|PLN|CZK|HUF|MXN|BRL|ZAR|INR|KRW"
 #: Date forms in the order in which they are tried.
@@ -72,7 +74,7 @@ def separated_number(t: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """A tolerant decimal: currency signs and spaces are dropped, separators read as above."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), CURRENCY, ""), "[   ]", "")
+    t = F.regexp_replace(F.regexp_replace(F.trim(text), CURRENCY, ""), BLANKS, "")
     plain = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
     return let(let(t, separated_number), lambda clean: F.when(clean.rlike(plain), clean.try_cast(NUMBER)))
 

@@ -1,26 +1,32 @@
 """The validation gate: parse, schema, support in the source, nothing beyond the schema.
 
-Steps run in order and the first that fails gives the reason.  The first, second and
-fourth and the literal part of the third are Column expressions over leaf rows; the fuzzy
-part of the third is difflib's ratio in a pandas function, which only sees strings that the
-literal test did not support.
+Steps run in order and the first that fails gives the reason.  An output is judged by one
+Arrow function of its own row, so nothing is shuffled; the fuzzy part of the third step
+(difflib's ratio) only sees strings that the literal test did not support.  A null source
+supports nothing.
 """
 
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import schemas
-from ..functions.text import norm
-from .jsonops import flatten, kind_of, parse_object, text_of
-from .metrics import breaks_schema, declared_type
+from ..functions.leaves import flatten, parse
+from ..functions.values import norm
+from .jsonops import parse_object
+from .metrics import Rules, all_rules, breaks_schema, by_row
 
 THRESHOLD = 0.85
+#: What each step says; step 1 names no path.
+REASONS = {
+    1: "step1_json_parse: no JSON object in the output", 2: "step2_schema_validation: ",
+    3: "step3_source_support: ", 4: "step4_no_overassertion: ",
+}
+_RESULT = "struct<accepted:boolean,step:int,reasons:array<string>,unsupported_fields:array<string>>"
+_ARROW = pa.struct([("accepted", pa.bool_()), ("step", pa.int32()), ("reasons", pa.list_(pa.string())), ("unsupported_fields", pa.list_(pa.string()))])
 
 
 def fuzzy_supported(value: str, source: str, threshold: float = THRESHOLD) -> bool:
@@ -42,18 +48,33 @@ def fuzzy_supported(value: str, source: str, threshold: float = THRESHOLD) -> bo
     return False
 
 
-def _by_ontology(schema: Column, value: Column, source: Column) -> Column:
-    """Whether the value is a canonical form one of whose surface forms is in the source."""
-    entries = F.create_map(*[
-        x for s in schemas()
-        for x in (F.lit(s.name), F.array(*[F.struct(norm(F.lit(c)).alias("c"), norm(F.lit(f)).alias("f")) for f, c in s.ontology.items()]) if s.ontology else F.expr("cast(array() as array<struct<c:string,f:string>>)"))
-    ])
-    return F.coalesce(F.exists(F.try_element_at(entries, schema), lambda e: (e["c"] == value) & F.contains(source, e["f"])), F.lit(False))
+def supported(rules: Rules, text: str, source: str, threshold: float | None) -> bool:
+    """Whether the source has the string, a surface form that stands for it, or (with a threshold) something close."""
+    value = norm(text)
+    if value in source or any(form in source for form in rules.forms.get(value, ())):
+        return True
+    return threshold is not None and fuzzy_supported(value, source, threshold)
 
 
-def _is_model(schema: Column, path: Column) -> Column:
-    owned = F.create_map(*[x for s in schemas() for x in (F.lit(s.name), F.array(*[F.lit(p) for p in s.paths("model")]))])
-    return F.array_contains(F.try_element_at(owned, schema), path)
+def judge(rules: Rules, source: str | None, output: str | None, threshold: float | None = None) -> dict:
+    """The result for one output: the JSON text of the object in it, or None."""
+
+    def rejected(step: int, paths: set[str]) -> dict:
+        named = sorted(paths)
+        return {"accepted": False, "step": step, "reasons": [REASONS[step] + ", ".join(named)], "unsupported_fields": named if step == 3 else []}
+
+    if output is None:
+        return rejected(1, set())
+    leaves = flatten(parse(output))
+    if broken := {x.path for x in leaves if breaks_schema(rules, x)}:
+        return rejected(2, broken)
+    text = norm(source or "")
+    checked = (x for x in leaves if x.kind == "str" and x.text and x.path in rules.model)
+    if stray := {x.path for x in checked if not supported(rules, x.text, text, threshold)}:
+        return rejected(3, stray)
+    if extra := {x.path for x in leaves if not x.empty and x.path not in rules.types}:
+        return rejected(4, extra)
+    return {"accepted": True, "step": None, "reasons": [], "unsupported_fields": []}
 
 
 def gate(outputs: DataFrame, fuzzy: bool = False, threshold: float = THRESHOLD) -> DataFrame:
@@ -61,50 +82,11 @@ def gate(outputs: DataFrame, fuzzy: bool = False, threshold: float = THRESHOLD)
 
     outputs: record_id, schema, source_text, raw.
     """
-    parsed = outputs.select("record_id", "schema", norm(F.col("source_text")).alias("source"), parse_object(F.col("raw")).alias("v"))
-    # a row of its own for every record: {} and unparsable text have no leaf
-    marked = parsed.withColumns({"parsed": F.col("v").isNotNull(), "side": F.explode(F.array(F.lit("p"), F.lit("s")))})
-    marked = marked.withColumn("v", F.when(F.col("side") == "s", F.try_parse_json(F.lit('{"s":null}'))).otherwise(F.col("v")))
-    flat = flatten(marked)
-    flat = flat.withColumns({"kind": kind_of(F.col("v")), "text": text_of(F.col("v"))}).drop("v")
-    mine = F.col("side") == "p"
-    checked = mine & (F.col("kind") == "str") & _is_model(F.col("schema"), F.col("path")) & (F.col("text") != "")
-    flat = flat.withColumns({
-        "value": norm(F.col("text")),
-        "broken": mine & breaks_schema(F.col("schema"), F.col("path"), F.col("scalar_list"), F.col("empty"), F.col("kind"), F.col("text")),
-        "extra": mine & ~F.col("empty") & declared_type(F.col("schema"), F.col("path")).isNull(),
-    })
-    literal = F.contains("source", "value") | _by_ontology(F.col("schema"), F.col("value"), F.col("source"))
-    flat = flat.withColumn("stray", checked & ~literal)
-    keep = ["record_id", "side", "parsed", "path", "broken", "extra", "stray"]
-    if fuzzy:
-        sure = flat.filter(~F.col("stray")).select(*keep)
-
-        def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b["stray"] = [not fuzzy_supported(v, s, threshold) for v, s in zip(b["value"], b["source"], strict=True)]
-                yield b[keep]
-
-        doubtful = flat.filter("stray").select(*keep, "value", "source")
-        flat = sure.union(doubtful.mapInPandas(close, sure.schema))
-    else:
-        flat = flat.select(*keep)
-    names = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("path"))))
-    out = flat.groupBy("record_id").agg(F.bool_or("parsed").alias("parsed"), names("broken").alias("broken"), names("stray").alias("stray"), names("extra").alias("extra"))
-    step = F.when(~F.col("parsed"), 1).when(F.size("broken") > 0, 2).when(F.size("stray") > 0, 3).when(F.size("extra") > 0, 4)
-    out = out.withColumn("step", step)
-    listed = lambda head, c: F.concat(F.lit(head), F.array_join(c, ", "))
-    reason = (
-        F.when(step == 1, F.lit("step1_json_parse: no JSON object in the output"))
-        .when(step == 2, listed("step2_schema_validation: ", "broken"))
-        .when(step == 3, listed("step3_source_support: ", "stray"))
-        .when(step == 4, listed("step4_no_overassertion: ", "extra"))
-    )
-    none = F.expr("cast(array() as array<string>)")
-    return out.select(
-        "record_id", step.isNull().alias("accepted"), "step", F.when(step.isNull(), none).otherwise(F.array(reason)).alias("reasons"),
-        F.when(step == 3, F.col("stray")).otherwise(none).alias("unsupported_fields"),
-    )
+    limit = threshold if fuzzy else None
+    rules, none = all_rules(), Rules()
+    run = F.arrow_udf(by_row(lambda schema, source, output: judge(rules.get(schema, none), source, output, limit), _ARROW), _RESULT)
+    found = run("schema", "source_text", F.to_json(parse_object(F.col("raw"))))
+    return outputs.select("record_id", found.alias("_found")).select("record_id", "_found.*")
 
 
 def rejection_rate(results: DataFrame) -> DataFrame:

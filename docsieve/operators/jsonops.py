@@ -8,95 +8,57 @@ object is one row marked ``empty``, which is no leaf but counts for validation.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions import leaves
+from ..functions.extract import list_array
 
-DEPTH = 6
 
+def find_object(text: Column, tail: bool = False, fences: bool = True) -> Column:
+    """The first balanced {...} of a text, or null (with ``tail``: the rest of the text)."""
 
-def strip_fences(text: Column) -> Column:
-    """What stands between the first fence line and the next, or the text itself."""
-    split = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)
-
-    def cut(lines: Column) -> Column:
-        fence = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*```(?:json)?\s*$"), i)), lambda i: i.isNotNull())
-
-        def between(at: Column) -> Column:
-            last = F.coalesce(F.try_element_at(at, F.lit(2)), F.size(lines))
-            return F.when(F.size(at) == 0, text).otherwise(F.array_join(F.slice(lines, at[0] + 2, F.greatest(last - at[0] - 1, F.lit(0))), "\n"))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([leaves.find_object(t, tail, fences) for t in texts.to_pylist()], pa.string())
 
-        return let(fence, between)
+    return F.arrow_udf(run, "string")(text)
 
-    return F.when(text.contains("```"), let(split, cut)).otherwise(text)
 
+def parse_object(text: Column) -> Column:
+    """The first JSON object of a text as VARIANT, or null."""
+    # an object's text begins with its brace, so what parses is an object
+    return F.try_parse_json(find_object(text))
 
-def find_object(text: Column, tail: bool = False, fences: bool = True) -> Column:
-    """The first balanced {...} of a text, or null (with ``tail``: the rest of the text).
 
-    Braces in strings do not count.  The scan runs over tokens (strings, brackets and what
-    is between them), not characters.
-    """
-    token = r'(?s)"(?:[^"\\]|\\.)*+(?:"|\z|\\\z)|[{}\[\]]|[^"{}\[\]]++'
-    kind = "struct<n:int,curly:int,square:int,end:int>"
-    zero = F.lit(0)
-    start = F.struct(zero.alias("n"), zero.alias("curly"), zero.alias("square"), zero.alias("end")).cast(kind)
+_LEAF = "struct<path:string,listy:boolean,scalar_list:boolean,empty:boolean,json:string>"
+_ARROW_LEAF = [("path", pa.string()), ("listy", pa.bool_()), ("scalar_list", pa.bool_()), ("empty", pa.bool_()), ("json", pa.string())]
 
-    def step(a: Column, t: Column) -> Column:
-        curly = a["curly"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
-        square = a["square"] + F.when(t == "[", 1).when(t == "]", -1).otherwise(0)
-        n = a["n"] + F.length(t)
-        done = (t == "}") & (curly == 0) & (square == 0)
-        after = F.struct(n.alias("n"), curly.alias("curly"), square.alias("square"), F.when(done, n).otherwise(0).alias("end")).cast(kind)
-        return F.when(a["end"] > 0, a).otherwise(after)
 
-    def scan(rest: Column) -> Column:
-        end = F.aggregate(F.regexp_extract_all(rest, F.lit(token), F.lit(0)), start, step)["end"]
-        return let(end, lambda n: F.when(n > 0, F.substring(rest, F.lit(1), n)).otherwise(rest if tail else F.lit(None)))
+def _leaf_array(found: list[leaves.Leaf]) -> pa.StructArray:
+    columns = zip(*((x.path, x.listy, x.in_list, x.empty, leaves.leaf_json(x)) for x in found), strict=True) if found else [[]] * 5
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _ARROW_LEAF, strict=True)], fields=[pa.field(*f) for f in _ARROW_LEAF])
 
-    def from_brace(body: Column) -> Column:
-        return let(F.locate("{", body), lambda at: F.when(at > 0, F.substring(body, at, F.length(body))))
 
-    return let(let(strip_fences(text) if fences else text, from_brace), scan)
+def objects_of(texts: pa.Array) -> list[dict | None]:
+    """The objects of JSON texts; null and what is no object is None."""
+    values = (None if t is None else leaves.parse(t) for t in texts.to_pylist())
+    return [v if isinstance(v, dict) else None for v in values]
 
 
-def parse_object(text: Column) -> Column:
-    """The first JSON object of a text as VARIANT, or null."""
-    # an object's text begins with its brace, so what parses is an object
-    return F.try_parse_json(find_object(text))
+def _flattened(texts: pa.Array) -> pa.Array:
+    return list_array([None if v is None else leaves.flatten(v) for v in objects_of(texts)], _leaf_array)
 
 
-def flatten(df: DataFrame, value: str = "v", depth: int = DEPTH) -> DataFrame:
-    """df with ``value`` (an object as VARIANT) replaced by its leaf rows: path, listy, empty, v.
+def flatten(df: DataFrame, value: str = "v") -> DataFrame:
+    """df with ``value`` (an object as VARIANT) replaced by its leaf rows: path, listy, empty, v, scalar_list.
 
-    One lateral explode a level; rows that are leaves already pass through.  What is nested
-    deeper than ``depth`` stays a leaf.  Null objects have no row.
+    Objects are taken apart to any depth in one Arrow pass.  Null objects have no row.
     """
-    keep = [c for c in df.columns if c != value]
-    now = df.filter(F.col(value).isNotNull()).select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias("path"), F.lit(False).alias("listy"), F.col(value).alias("v"))
-    for _ in range(depth):
-        s, inner = F.schema_of_variant("v"), F.col("k").isin("object", "list")
-        now = now.withColumn("k", F.when(F.to_json("v").isin("{}", "[]"), "empty").when(s.startswith("OBJECT<"), "object").when(s.startswith("ARRAY<OBJECT<"), "list").otherwise("leaf"))
-        now = _children(now, inner).select(
-            *keep,
-            F.when(F.col("k") == "object", F.concat_ws(".", F.nullif("path", F.lit("")), "key")).when(F.col("k") == "list", F.concat("path", F.lit("[]"))).otherwise(F.col("path")).alias("path"),
-            (F.col("listy") | (F.col("k") == "list")).alias("listy"),
-            F.when(inner, F.col("child")).otherwise(F.col("v")).alias("v"),
-        )
-    s = F.schema_of_variant("v")
-    now = now.withColumn("scalar_list", s.startswith("ARRAY<") & (F.to_json("v") != "[]") & ~s.startswith("ARRAY<OBJECT<"))
-    now = _children(now, F.col("scalar_list"))
-    return now.filter("path <> ''").select(
-        *keep, "path", (F.col("listy") | F.col("scalar_list")).alias("listy"), F.to_json("v").isin("{}", "[]").alias("empty"),
-        F.when(F.col("scalar_list"), F.col("child")).otherwise(F.col("v")).alias("v"), "scalar_list",
-    )
-
-
-def _children(df: DataFrame, where: Column) -> DataFrame:
-    """A row (key, child) for every child of ``v`` where the condition holds, one without elsewhere."""
-    inner = df.withColumn("_x", F.when(where, F.col("v")))
-    return df.sparkSession.sql("SELECT t.*, e.key AS key, e.value AS child FROM {t} t, LATERAL variant_explode_outer(t._x) e", t=inner)
+    keep = [F.col(f"`{c}`") for c in df.columns if c != value]
+    # the outer form, since for the other one the optimiser infers a filter on the leaves
+    rows = df.select(*keep, F.explode_outer(F.arrow_udf(_flattened, f"array<{_LEAF}>")(F.to_json(value))).alias("_leaf")).filter("_leaf is not null")
+    return rows.select(*keep, "_leaf.path", "_leaf.listy", "_leaf.empty", F.parse_json("_leaf.json").alias("v"), "_leaf.scalar_list")
 
 
 def kind_of(v: Column) -> Column:
@@ -113,36 +75,14 @@ def text_of(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
 
 
-def unflatten(leaves: Column) -> Column:
-    """A JSON object from an array of struct<path, values array<JSON text>, repeated>.
+def unflatten(rows: Column) -> Column:
+    """A JSON object from an array ``rows`` of struct<path, values array<JSON text>, repeated>; null for null.
 
     Lists of objects are zipped by index; a short list leaves its leaf out of later items.
     """
-    scalars = F.transform(F.filter(leaves, lambda x: ~x["repeated"]), lambda x: F.concat(_quoted(x["path"]), F.lit(":"), x["values"][0]))
-    lists = F.filter(leaves, lambda x: x["repeated"])
-    parents = F.array_distinct(F.transform(lists, lambda x: F.split(x["path"], r"\[\]\.")[0]))
-
-    def items(parent: Column) -> Column:
-        mine = F.filter(lists, lambda x: F.split(x["path"], r"\[\]\.")[0] == parent)
-        longest = F.array_max(F.transform(mine, lambda x: F.size(x["values"])))
-
-        def one(i: Column) -> Column:
-            have = F.filter(mine, lambda x: F.size(x["values"]) > i)
-            return F.concat(F.lit("{"), F.array_join(F.transform(have, lambda x: F.concat(_quoted(F.split(x["path"], r"\[\]\.")[1]), F.lit(":"), x["values"][i])), ","), F.lit("}"))
-
-        full = F.when(longest > 0, F.transform(F.sequence(F.lit(0), F.greatest(longest - 1, F.lit(0))), one)).otherwise(F.expr("cast(array() as array<string>)"))
-        return F.concat(_quoted(parent), F.lit(":["), F.array_join(full, ","), F.lit("]"))
-
-    return F.concat(F.lit("{"), F.array_join(F.concat(scalars, F.transform(parents, items)), ","), F.lit("}"))
-
-
-def _quoted(text: Column) -> Column:
-    escaped = F.regexp_replace(text, r'(["\\])', r"\\$1")
-    for raw, mark in (("\n", "n"), ("\r", "r"), ("\t", "t")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(f"\\{mark}"))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
 
+    def run(cells: pa.Array) -> pa.Array:
+        named = ([(r["path"], r["values"], r["repeated"]) for r in c] if c is not None else None for c in cells.to_pylist())
+        return pa.array([None if c is None else leaves.unflatten(c) for c in named], pa.string())
 
-def json_string(text: Column) -> Column:
-    """A string as a JSON string."""
-    return _quoted(text)
+    return F.arrow_udf(run, "string")(rows)

@@ -7,47 +7,83 @@ values.
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import get_schema, schemas
-from .jsonops import flatten, json_string, unflatten
+from ..functions.extract import list_array
+from ..functions.leaves import flatten, leaf_json
+from .jsonops import objects_of, unflatten
 
+#: path, JSON values, repeated.
+Row = tuple[str, list[str], bool]
 LEAVES = "array<struct<path:string,values:array<string>,repeated:boolean>>"
 
 
+def _rule_leaves(resolved: list[dict]) -> list[Row]:
+    # list elements compare by type, so amounts in lists stay numbers
+    return [(r["path"], r["values"] if r["repeated"] else [json.dumps(v, ensure_ascii=False) for v in r["values"]], r["repeated"]) for r in resolved]
+
+
+def _row_arrays(cells: list[list[Row] | None]) -> pa.Array:
+    def columns(flat: list[Row]) -> pa.Array:
+        parts = zip(*flat, strict=True) if flat else [[]] * 3
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(parts, _FIELDS, strict=True)], fields=[pa.field(*f) for f in _FIELDS])
+
+    return list_array(cells, columns)
+
+
 def rule_leaves(resolved: Column) -> Column:
     """A pre-pass result as leaves; values are JSON strings, which comparison reads leniently."""
+    return F.arrow_udf(lambda cells: _row_arrays([None if c is None else _rule_leaves(c) for c in cells.to_pylist()]), LEAVES)(resolved)
+
+
+_FIELDS = [("path", pa.string()), ("values", pa.list_(pa.string())), ("repeated", pa.bool_())]
 
-    def one(r: Column) -> Column:
-        # list elements compare by type, so amounts in lists stay numbers
-        return F.struct(
-            r["path"].alias("path"),
-            F.transform(r["values"], lambda v: F.when(r["repeated"], v).otherwise(json_string(v))).alias("values"),
-            r["repeated"].alias("repeated"),
-        )
 
-    return F.transform(resolved, one).cast(LEAVES)
+def _given(value: dict) -> list[tuple[str, list[str], bool]]:
+    """(path, values, repeated) of an object's leaves that are not null, by path."""
+    found: dict[str, tuple[list[str], bool]] = {}
+    for x in flatten(value):
+        if not x.empty and (x.listy or x.kind != "null"):
+            values, listy = found.get(x.path, ([], False))
+            found[x.path] = ([*values, leaf_json(x)], listy or x.listy)
+    return [(path, *v) for path, v in sorted(found.items())]
+
+
+def _leaf_arrays(texts: pa.Array) -> pa.Array:
+    return _row_arrays([None if v is None else _given(v) for v in objects_of(texts)])
+
+
+def leaves_of(prediction: Column) -> Column:
+    """The leaves of a parsed prediction (VARIANT) that are not null; null for no prediction."""
+    return F.arrow_udf(_leaf_arrays, LEAVES)(F.to_json(prediction))
 
 
 def model_leaves(df: DataFrame, key: str = "record_id", prediction: str = "prediction") -> DataFrame:
-    """(key, leaves): the leaves of each record's parsed prediction that are not null."""
-    flat = flatten(df.select(key, F.col(prediction).alias("v"), F.lit(0).alias("_")).drop("_"))
-    given = flat.filter(~F.col("empty") & (F.col("listy") | (F.schema_of_variant("v") != "VOID")))
-    grouped = given.groupBy(key, "path").agg(F.collect_list(F.to_json("v")).alias("values"), F.bool_or("listy").alias("repeated"))
-    return grouped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("path", "values", "repeated"))).cast(LEAVES).alias("leaves"))
+    """(key, leaves) of every record with a prediction."""
+    return df.select(key, leaves_of(F.col(prediction)).alias("leaves")).filter("leaves is not null")
+
+
+def _merged(known: dict[str, frozenset[str]], schema: str | None, rules: list[Row], model: list[Row]) -> list[Row]:
+    taken, declared = {r[0] for r in rules}, known.get(schema, frozenset())
+    return sorted([*rules, *(m for m in model if m[0] in declared and m[0] not in taken)])
 
 
 def merge(rules: Column, model: Column, schema: str | Column) -> Column:
     """Leaves of both by ownership: rules first, then the model's declared leaves."""
-    if isinstance(schema, str):
-        known = F.array(*[F.lit(p) for p in get_schema(schema).paths()])
-    else:
-        known = F.try_element_at(F.create_map(*[x for s in schemas() for x in (F.lit(s.name), F.array(*[F.lit(p) for p in s.paths()]))]), schema)
-    rules, model = (F.coalesce(x, F.expr(f"cast(array() as {LEAVES})")) for x in (rules, model))
-    taken = F.transform(rules, lambda r: r["path"])
-    extra = F.filter(model, lambda m: F.array_contains(known, m["path"]) & ~F.array_contains(taken, m["path"]))
-    return F.array_sort(F.concat(rules, extra))
+    known = {s.name: frozenset(s.paths()) for s in schemas()}
+    rows = lambda c: [(r["path"], r["values"], r["repeated"]) for r in c or ()]
+
+    def run(rules: pa.Array, model: pa.Array, names: pa.Array) -> pa.Array:
+        cells = zip(rules.to_pylist(), model.to_pylist(), names.to_pylist(), strict=True)
+        return _row_arrays([_merged(known, name, rows(r), rows(m)) for r, m, name in cells])
+
+    name = F.lit(get_schema(schema).name) if isinstance(schema, str) else schema
+    return F.arrow_udf(run, LEAVES)(rules, model, name)
 
 
 def merged_object(rules: Column, model: Column, schema: str | Column) -> Column:

@@ -1,195 +1,268 @@
 """Field-level evaluation: predictions against references, leaf by leaf.
 
-Predictions and references become leaf rows of one table, tagged by side.  A record's rows
-meet in one shuffle (by record_id); the two aggregations above it, by path and by record,
-need no other.  Metrics pool counts over records (micro averages), so they combine before
-every shuffle.
+A record holds both sides, so comparing them needs no other row: one Arrow function takes
+prediction, reference and source of a record and gives its counts and lists, and nothing is
+shuffled before metrics are pooled.  Metrics pool counts over records (micro averages), so
+they combine map-side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections import Counter
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import schemas
-from ..functions.text import NUMBER, norm, to_date, to_number
-from .jsonops import flatten, kind_of, parse_object, text_of
+from ..catalog import Schema, schemas
+from ..functions import values as V
+from ..functions.leaves import Leaf, flatten, parse
+from .jsonops import parse_object
 
 METRICS = ("exact_match", "schema_validity", "field_precision", "field_recall", "field_f1", "hallucination_rate", "missing_field_rate", "n_records")
 EXCLUDED = ("ambiguate",)
+_LAX_NUMBER = re.compile(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*", re.ASCII)
+_LAX_INT = re.compile(r"\s*[+-]?\d+(?:\.0+)?\s*", re.ASCII)
+_MIDNIGHT = re.compile(r"(\d{4}-\d{2}-\d{2})(?:[T ]00:00(?::00(?:\.0+)?)?Z?)?", re.ASCII)
+_TRUTH = frozenset("0 off f false n no 1 on t true y yes".split())
+_NOT_FINITE = frozenset("nan inf -inf infinity -infinity".split())
 
 
-def _lookup(entries: dict[str, object], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in entries.items() for x in kv]), key)
+class Rules(NamedTuple):
+    """What a schema says about paths and strings; a name that is not registered has none of it."""
+
+    types: dict[str, str] = {}
+    model: frozenset[str] = frozenset()
+    scalars: tuple[str, ...] = ()
+    lists: tuple[str, ...] = ()
+    ontology: dict[str, str] = {}
+    #: By canonical form the surface forms that stand for it, all normalised.
+    forms: dict[str, tuple[str, ...]] = {}
+
+
+def _rules(s: Schema) -> Rules:
+    surface: dict[str, str] = {}
+    forms: dict[str, tuple[str, ...]] = {}
+    for form, name in s.ontology.items():
+        surface.setdefault(form.strip().lower(), name)
+        forms[V.norm(name)] = (*forms.get(V.norm(name), ()), V.norm(form))
+    scalars = tuple(f.path for f in s.fields if not f.repeated)
+    lists = tuple(sorted({f.path.split("[]")[0] for f in s.fields if f.repeated}))
+    return Rules({f.path: f.type for f in s.fields}, frozenset(s.paths("model")), scalars, lists, surface, forms)
+
+
+def all_rules() -> dict[str, Rules]:
+    """The rules of every schema that is registered with the driver, to be sent along."""
+    return {s.name: _rules(s) for s in schemas()}
+
+
+def canonical_of(rules: Rules, text: str) -> str:
+    return rules.ontology.get(text.strip(" ").lower(), text)
 
 
 def canonical(schema: Column, text: Column) -> Column:
     """A string after its schema's ontology; the first entry of a surface form counts."""
-    table: dict[str, str] = {}
-    for s in schemas():
-        for surface, c in s.ontology.items():
-            table.setdefault(f"{s.name}|{surface.strip().lower()}", c)
-    return F.coalesce(_lookup(table, F.concat(schema, F.lit("|"), F.lower(F.trim(text)))), text)
+    table = {f"{named}|{form}": name for named, rules in all_rules().items() for form, name in rules.ontology.items()}
+    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.concat(schema, F.lit("|"), F.lower(F.trim(text))))
+    return F.coalesce(found, text)
 
 
-def declared_type(schema: Column, path: Column) -> Column:
-    """The declared type of a leaf path, or null off the schema."""
-    return _lookup({f"{s.name}|{f.path}": f.type for s in schemas() for f in s.fields}, F.concat(schema, F.lit("|"), path))
+def fits(kind: str, text: str, type_: str) -> bool:
+    """Whether a JSON scalar can be read as the declared type: numbers and booleans from strings, too."""
+    if kind == "null":
+        return True
+    n = V.exact(text) if kind == "num" else None
+    if type_ == "str":
+        return kind == "str"
+    if type_ == "int":
+        return kind == "bool" or (n is not None and n == n.to_integral_value()) or (kind == "str" and bool(_LAX_INT.fullmatch(text)))
+    if type_ == "float":
+        return kind in ("num", "bool") or (kind == "str" and (bool(_LAX_NUMBER.fullmatch(text)) or text.strip(" ").lower() in _NOT_FINITE))
+    if type_ == "bool":
+        return kind == "bool" or (n is not None and n in (0, 1)) or (kind == "str" and text.strip(" ").lower() in _TRUTH)
+    if type_ == "decimal":
+        return kind == "num" or (kind == "str" and bool(_LAX_NUMBER.fullmatch(text)))
+    if kind == "num":
+        return n is not None and abs(n) < 10**15 and n % 86_400 == 0
+    day = _MIDNIGHT.fullmatch(text) if kind == "str" else None
+    return day is not None and V.make_day(*day[1].split("-")) is not None
+
+
+def breaks_schema(rules: Rules, leaf: Leaf) -> bool:
+    """Whether a leaf shows that its record does not fit the schema; unknown keys do not."""
+    path = leaf.path
+    if (type_ := rules.types.get(path)) is not None:
+        return leaf.in_list or leaf.empty or not fits(leaf.kind, leaf.text, type_)
+    if any(path.startswith((f"{f}.", f"{f}[]")) for f in rules.scalars):
+        return True
+    for f in rules.lists:
+        if path == f and (leaf.text != "[]" if leaf.empty else leaf.in_list or leaf.kind != "null"):
+            return True
+        if path.startswith(f"{f}.") or (path.startswith(f"{f}[]") and path.endswith("[]")):
+            return True
+    return False
+
+
+class Value(NamedTuple):
+    """A leaf's readings for comparison."""
+
+    kind: str
+    text: str
+    name: str | None
+    number: object
+    day: object
+
+    @property
+    def key(self) -> tuple[str, object]:
+        """What list elements match by: in lists a string is itself before it is a number or a date."""
+        return self.kind, self.name if self.kind == "str" else self.text if self.number is None else self.number
+
+
+def read(rules: Rules, leaf: Leaf) -> Value:
+    if leaf.kind == "str":
+        return Value("str", leaf.text, V.norm(canonical_of(rules, leaf.text)), V.number(leaf.text), V.day(leaf.text))
+    return Value(leaf.kind, leaf.text, None, V.exact(leaf.text) if leaf.kind == "num" else None, None)
+
+
+def scalars_equal(p: Value, r: Value) -> bool:
+    """Equality of two leaves: nulls, booleans, numbers, dates, then strings."""
+    if "null" in (p.kind, r.kind):
+        return p.kind == r.kind
+    if "bool" in (p.kind, r.kind):
+        return p.kind == r.kind and p.text == r.text
+    if p.number is not None and r.number is not None:
+        return p.number == r.number
+    if p.day is not None and r.day is not None:
+        return p.day == r.day
+    if p.kind == r.kind == "str":
+        return p.name == r.name
+    return p.kind == r.kind and p.text == r.text
 
 
-def fits(kind: Column, text: Column, type_: Column) -> Column:
-    """Whether a JSON scalar can be read as the declared type: numbers and booleans from strings, too."""
-    number = text.try_cast(NUMBER)
-    plain = text.rlike(r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$")
-    truth = F.lower(F.trim(text)).isin("0", "off", "f", "false", "n", "no", "1", "on", "t", "true", "y", "yes")
-    return (
-        F.when(kind == "null", True)
-        .when(type_ == "str", kind == "str")
-        .when(type_ == "int", (kind == "bool") | ((kind == "num") & (number == F.floor(number))) | ((kind == "str") & text.rlike(r"^\s*[+-]?\d+(?:\.0+)?\s*$")))
-        .when(type_ == "float", kind.isin("num", "bool") | ((kind == "str") & (plain | F.lower(F.trim(text)).isin("nan", "inf", "-inf", "infinity", "-infinity"))))
-        .when(type_ == "bool", (kind == "bool") | ((kind == "num") & number.isin(0, 1)) | ((kind == "str") & truth))
-        .when(type_ == "decimal", (kind == "num") | ((kind == "str") & plain))
-        .when(type_ == "date", ((kind == "num") & (number % 86400 == 0)) | ((kind == "str") & F.to_date(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ]00:00(?::00(?:\.0+)?)?Z?)?$", 1).try_cast("date").cast("string")).isNotNull()))
-        .otherwise(False)
-    )
-
-
-def breaks_schema(schema: Column, path: Column, scalar_list: Column, empty: Column, kind: Column, text: Column) -> Column:
-    """Whether a leaf row shows that its record does not fit the schema; unknown keys do not."""
-    type_ = declared_type(schema, path)
-    scalars = F.create_map(*[x for s in schemas() for x in (F.lit(s.name), F.array(*[F.lit(f.path) for f in s.fields if not f.repeated]))])
-    parents = F.create_map(*[x for s in schemas() for x in (F.lit(s.name), F.array(*[F.lit(p) for p in sorted({f.path.split("[]")[0] for f in s.fields if f.repeated})], F.lit("\0")))])
-    fields, lists = F.try_element_at(scalars, schema), F.try_element_at(parents, schema)
-    inside_scalar = F.exists(fields, lambda f: path.startswith(F.concat(f, F.lit("."))) | path.startswith(F.concat(f, F.lit("[]"))))
-    not_a_list = F.exists(lists, lambda f: path.startswith(F.concat(f, F.lit("."))) | ((path == f) & F.when(empty, text != "[]").otherwise(scalar_list | (kind != "null"))))
-    inside_item = F.exists(lists, lambda f: path.startswith(F.concat(f, F.lit("[]"))))
-    return F.when(type_.isNotNull(), scalar_list | empty | ~fits(kind, text, type_)).otherwise(inside_scalar | not_a_list | (inside_item & (path.endswith("[]"))))
-
-
-def leaves(records: DataFrame) -> DataFrame:
-    """Leaf rows of both sides with what comparison needs.
+class Side(NamedTuple):
+    """The leaves of one side at one path."""
 
-    records: record_id, schema, source_text (null: support is not checked), tags,
-    prediction and reference (VARIANT).  Every record also has one row of side ``s``.
-    """
-    base = records.select(
-        "record_id", "schema", "tags", norm(F.col("source_text")).alias("source"), F.col("prediction").isNotNull().alias("is_object"),
-        F.explode(F.array(
-            F.struct(F.lit("p").alias("side"), F.col("prediction").alias("v")), F.struct(F.lit("r").alias("side"), F.col("reference").alias("v")),
-            F.struct(F.lit("s").alias("side"), F.try_parse_json(F.lit('{"s":null}')).alias("v")),
-        )).alias("x"),
-    ).select("record_id", "schema", "tags", "source", "is_object", "x.side", "x.v")
-    flat = flatten(base)
-    kind, text = kind_of(F.col("v")), text_of(F.col("v"))
-    flat = flat.withColumns({"kind": kind, "text": text}).drop("v")
-    k, t = F.col("kind"), F.col("text")
-    name = canonical(F.col("schema"), t)
-    flat = flat.withColumns({
-        "name": F.when(k == "str", norm(name)),
-        "number": F.when(k == "num", t.try_cast(NUMBER)).when(k == "str", to_number(t)),
-        "day": F.when(k == "str", to_date(t)),
-    })
-    known = declared_type(F.col("schema"), F.col("path")).isNotNull()
-    strays = (k == "str") & (F.trim(t) != "") & F.col("number").isNull() & F.col("day").isNull() & ~F.contains("source", "name")
-    return flat.select(
-        "record_id", "side", "path", "listy", "kind", "text", "name", "number", "day", "empty",
-        F.when(F.col("side") == "s", F.struct("schema", "tags", "is_object")).alias("record"),
-        # in lists a string is itself before it is a number or a date
-        F.when(k == "null", "null").when(k == "bool", F.concat(F.lit("bool:"), t)).when(k == "str", F.concat(F.lit("str:"), F.col("name")))
-        .when(k == "num", F.concat(F.lit("num:"), F.col("number").cast("string"))).otherwise(F.concat(F.lit("other:"), t)).alias("key"),
-        F.when((F.col("side") == "p") & F.col("source").isNotNull(), F.when(~known, True).otherwise(strays)).otherwise(False).alias("stray"),
-        ((F.col("side") == "p") & known).alias("known"),
-        ((F.col("side") == "p") & breaks_schema(F.col("schema"), F.col("path"), F.col("scalar_list"), F.col("empty"), k, t)).alias("broken"),
-    )
+    listy: bool
+    values: list[Value]
 
+    @property
+    def given(self) -> bool:
+        return self.listy or self.values[0].kind != "null"
 
-def scalars_equal(p: Column, r: Column) -> Column:
-    """Equality of two leaves: nulls, booleans, numbers, dates, then strings."""
-    return (
-        F.when((p["kind"] == "null") | (r["kind"] == "null"), p["kind"] == r["kind"])
-        .when((p["kind"] == "bool") | (r["kind"] == "bool"), (p["kind"] == r["kind"]) & (p["text"] == r["text"]))
-        .when(p["number"].isNotNull() & r["number"].isNotNull(), p["number"] == r["number"])
-        .when(p["day"].isNotNull() & r["day"].isNotNull(), p["day"] == r["day"])
-        .when((p["kind"] == "str") & (r["kind"] == "str"), p["name"] == r["name"])
-        .otherwise((p["kind"] == r["kind"]) & (p["text"] == r["text"]))
-    )
-
-
-def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-
-
-def compare_paths(leaf_rows: DataFrame) -> DataFrame:
-    """One row a record and path: counts of each side, what is correct, missing, stray, wrong."""
-    p, r, leaf = F.col("side") == "p", F.col("side") == "r", ~F.col("empty")
-    one = F.struct("kind", "text", "name", "number", "day")
-
-    def of(side: Column) -> list[Column]:
-        own = side & leaf
-        return [F.count_if(own), F.bool_or(F.when(own, F.col("listy"))), F.collect_list(F.when(own, F.col("key"))), F.first(F.when(own, one), ignorenulls=True), F.collect_list(F.when(own, F.col("text")))]
-
-    names = ("n", "list", "keys", "one", "texts")
-    grouped = leaf_rows.repartition("record_id").groupBy("record_id", "path").agg(
-        *[c.alias(f"p_{n}") for n, c in zip(names, of(p), strict=True)],
-        *[c.alias(f"r_{n}") for n, c in zip(names, of(r), strict=True)],
-        F.count_if(F.col("stray") & leaf).alias("strays"),
-        F.bool_or("broken").alias("broken"),
-        F.bool_or("known").alias("known"),
-        F.first("record", ignorenulls=True).alias("record"),
-    )
-    c = {k: F.col(k) for k in grouped.columns}
-    both = (c["p_n"] > 0) & (c["r_n"] > 0)
-    listy = F.coalesce(c["p_list"], F.lit(False)) | F.coalesce(c["r_list"], F.lit(False))
-    same_bag = F.array_sort("p_keys") == F.array_sort("r_keys")
-    scalar = scalars_equal(c["p_one"], c["r_one"])
-    ref_given = (c["r_n"] > 0) & (c["r_list"] | (c["r_one"]["kind"] != "null"))
-    pred_given = (c["p_n"] > 0) & (c["p_list"] | (c["p_one"]["kind"] != "null"))
-    missing = ref_given & ~F.coalesce(pred_given, F.lit(False))
-    return grouped.withColumns({
-        "equal": F.when(listy, same_bag).otherwise(scalar),
-        "strict": F.coalesce(both & F.when(listy, c["p_list"] & c["r_list"] & same_bag).otherwise(scalar), F.lit(False)),
-        "missing": F.coalesce(missing, F.lit(False)),
-        "both": both,
-    }).withColumns({
-        "correct": F.when(both, F.when(listy, F.when(same_bag, c["p_n"]).otherwise(bag_overlap(c["p_keys"], c["r_keys"]))).otherwise(scalar.cast("long"))).otherwise(0),
-        "n_missing": F.when(F.col("missing"), c["r_n"]).when(c["p_list"] & c["r_list"] & ref_given, F.greatest(c["r_n"] - c["p_n"], F.lit(0))).otherwise(0),
-    })
+
+def _by_path(rules: Rules, leaves: Sequence[Leaf]) -> dict[str, Side]:
+    found: dict[str, list[Leaf]] = {}
+    for leaf in leaves:
+        if not leaf.empty:
+            found.setdefault(leaf.path, []).append(leaf)
+    return {path: Side(any(x.listy for x in own), [read(rules, x) for x in own]) for path, own in found.items()}
+
+
+def _invented(rules: Rules, path: str, v: Value, source: str) -> bool:
+    """Whether a predicted leaf is off the schema, or a string that the source does not have."""
+    if path not in rules.types:
+        return True
+    return v.kind == "str" and v.text.strip(" ") != "" and v.number is None and v.day is None and v.name not in source
+
+
+_ERROR = "struct<path:string,predicted:string,reference:string,p_kind:string,r_kind:string,listy:boolean>"
+RESULT = (
+    "struct<exact_match:boolean,schema_valid:boolean,n_correct:bigint,n_predicted:bigint,n_reference:bigint,n_missing:bigint,n_hallucinated:bigint,"
+    f"missing:array<string>,hallucinated:array<string>,errors:array<{_ERROR}>,predicted:array<struct<path:string,texts:array<string>,listy:boolean>>>"
+)
+_STRINGS = pa.list_(pa.string())
+ARROW_RESULT = pa.struct([
+    *[(n, pa.bool_()) for n in ("exact_match", "schema_valid")],
+    *[(n, pa.int64()) for n in ("n_correct", "n_predicted", "n_reference", "n_missing", "n_hallucinated")],
+    ("missing", _STRINGS), ("hallucinated", _STRINGS),
+    ("errors", pa.list_(pa.struct([*[(n, pa.string()) for n in ("path", "predicted", "reference", "p_kind", "r_kind")], ("listy", pa.bool_())]))),
+    ("predicted", pa.list_(pa.struct([("path", pa.string()), ("texts", _STRINGS), ("listy", pa.bool_())]))),
+])
+
+
+def _shown(side: Side) -> str:
+    return json.dumps([v.text for v in side.values], ensure_ascii=False, separators=(",", ":")) if side.listy else side.values[0].text
+
+
+def compare(rules: Rules, source: str | None, prediction: str | None, reference: str | None) -> dict:
+    """The counts and lists of one record; both sides are JSON text of objects, or null.
+
+    A null source leaves support unchecked.
+    """
+    predicted = [] if prediction is None else flatten(parse(prediction))
+    p_side, r_side = _by_path(rules, predicted), {} if reference is None else _by_path(rules, flatten(parse(reference)))
+    text = None if source is None else V.norm(source)
+    out = {"n_correct": 0, "n_predicted": 0, "n_reference": 0, "n_missing": 0, "n_hallucinated": 0}
+    missing, strays, errors, exact = [], [], [], True
+    for path in sorted(p_side.keys() | r_side.keys()):
+        p, r = p_side.get(path), r_side.get(path)
+        n_p, n_r = len(p.values) if p else 0, len(r.values) if r else 0
+        out["n_predicted"] += n_p
+        out["n_reference"] += n_r
+        if p and text is not None and (n := sum(_invented(rules, path, v, text) for v in p.values)):
+            out["n_hallucinated"] += n
+            strays.append(path)
+        if r and r.given and not (p and p.given):
+            missing.append(path)
+            out["n_missing"] += n_r
+        elif p and r and p.listy and r.listy:
+            out["n_missing"] += max(n_r - n_p, 0)
+        if not (p and r):
+            exact = False
+            continue
+        if p.listy or r.listy:
+            a, b = Counter(v.key for v in p.values), Counter(v.key for v in r.values)
+            same, right = a == b, (a & b).total()
+            exact = exact and same and p.listy and r.listy
+        else:
+            same = scalars_equal(p.values[0], r.values[0])
+            right = int(same)
+            exact = exact and same
+        out["n_correct"] += right
+        if not same:
+            errors.append({"path": path, "predicted": _shown(p), "reference": _shown(r), "p_kind": p.values[0].kind, "r_kind": r.values[0].kind, "listy": p.listy or r.listy})
+    valid = prediction is not None and not any(breaks_schema(rules, x) for x in predicted)
+    given = [{"path": path, "texts": [v.text for v in s.values], "listy": s.listy} for path, s in sorted(p_side.items())]
+    return out | {"exact_match": exact, "schema_valid": valid, "missing": missing, "hallucinated": strays, "errors": errors, "predicted": given}
+
+
+def by_row(one: Callable[..., object], kind: pa.DataType) -> Callable[..., pa.Array]:
+    """An Arrow function from a function of one row."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], kind)
+
+    return run
 
 
 def evaluate_records(records: DataFrame) -> DataFrame:
-    """One row a record: counts, flags, and the paths that are missing, hallucinated or wrong."""
-    c = compare_paths(leaves(records))
-    leafy = (F.col("p_n") + F.col("r_n")) > 0
-    paths = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("path"))))
-    wrong = F.struct("path", F.when(F.col("p_list"), F.to_json("p_texts")).otherwise(F.col("p_one.text")).alias("predicted"), F.when(F.col("r_list"), F.to_json("r_texts")).otherwise(F.col("r_one.text")).alias("reference"), F.col("p_one.kind").alias("p_kind"), F.col("r_one.kind").alias("r_kind"), (F.col("p_list") | F.col("r_list")).alias("listy"))
-    out = c.groupBy("record_id").agg(
-        F.first("record", ignorenulls=True).alias("record"),
-        F.coalesce(F.bool_and(F.when(leafy, F.col("strict"))), F.lit(True)).alias("exact_match"),
-        F.bool_or(F.coalesce("broken", F.lit(False))).alias("broken"),
-        F.sum("correct").cast("long").alias("n_correct"),
-        F.sum("p_n").cast("long").alias("n_predicted"),
-        F.sum("r_n").cast("long").alias("n_reference"),
-        F.sum("n_missing").cast("long").alias("n_missing"),
-        F.sum("strays").cast("long").alias("n_hallucinated"),
-        paths(F.col("missing")).alias("missing"),
-        paths(F.col("strays") > 0).alias("hallucinated"),
-        F.array_sort(F.collect_list(F.when(F.col("both") & ~F.col("equal"), wrong))).alias("errors"),
-        F.array_sort(F.collect_list(F.when(F.col("p_n") > 0, F.struct("path", F.col("p_texts").alias("texts"), F.col("p_list").alias("listy"))))).alias("predicted"),
-    )
-    return out.select("record_id", "record.schema", "record.tags", "exact_match", (F.col("record.is_object") & ~F.col("broken")).alias("schema_valid"), *[x for x in out.columns if x not in ("record_id", "record", "exact_match", "broken")])
+    """One row a record: counts, flags, and the paths that are missing, hallucinated or wrong.
+
+    records: record_id, schema, source_text (null: support is not checked), tags,
+    prediction and reference (VARIANT).  Rows are judged each by itself, also where they
+    share a record_id.
+    """
+    rules, none = all_rules(), Rules()
+    judge = F.arrow_udf(by_row(lambda schema, *sides: compare(rules.get(schema, none), *sides), ARROW_RESULT), RESULT)
+    found = judge("schema", "source_text", F.to_json("prediction"), F.to_json("reference"))
+    return records.select("record_id", "schema", "tags", found.alias("_found")).select("record_id", "schema", "tags", "_found.*")
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def pooled() -> list[Column]:
-    """The eight metrics as aggregates over evaluated records."""
+_COUNTED = ("exact_match", "schema_valid", "n_correct", "n_predicted", "n_reference", "n_missing", "n_hallucinated")
+
+
+def pooled(n: Column | None = None) -> list[Column]:
+    """The eight metrics as aggregates over evaluated records; n is how many, if not the rows."""
+    n = F.count(F.lit(1)) if n is None else n
     total = {k: F.sum(k) for k in ("n_correct", "n_predicted", "n_reference", "n_missing", "n_hallucinated")}
-    n = F.count(F.lit(1))
     # 2PR / (P + R) in whole counts
     values = (
         ratio(F.count_if("exact_match"), n), ratio(F.count_if("schema_valid"), n), ratio(total["n_correct"], total["n_predicted"]),
@@ -212,22 +285,22 @@ def aggregate(results: DataFrame) -> DataFrame:
 def sliced(results: DataFrame, exclude: Sequence[str] = EXCLUDED) -> DataFrame:
     """(slice_kind, slice, metrics): overall, schema, tag and excluded slices.
 
-    Records with an excluded tag count in tag and excluded slices only.  An excluded tag
-    without records still has a row.
+    Records with an excluded tag count in tag and excluded slices only.  Overall and excluded
+    slices without records still have a row.  Every record is turned into its slices and
+    there is one aggregation, whose sums combine before the only shuffle.
     """
-    spark = results.sparkSession
-    outside = ~F.arrays_overlap("tags", F.array(*[F.lit(t) for t in exclude])) if exclude else F.lit(True)
-    counted = results.filter(F.coalesce(outside, F.lit(True)))
-    by_tag = results.select("*", F.explode("tags").alias("tag")).groupBy("tag").agg(*pooled())
-    spine = spark.createDataFrame([(t,) for t in exclude], "tag string")
-    kept = spine.join(by_tag, "tag", "left").select("tag", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in METRICS])
-    rows = [
-        aggregate(counted).select(F.lit("overall").alias("slice_kind"), F.lit("").alias("slice"), *METRICS),
-        counted.groupBy("schema").agg(*pooled()).select(F.lit("schema"), "schema", *METRICS),
-        by_tag.select(F.lit("tag"), "tag", *METRICS),
-        kept.select(F.lit("excluded"), "tag", *METRICS),
-    ]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    kind = "array<struct<slice_kind:string,slice:string>>"
+    tags = F.coalesce("tags", F.expr("cast(array() as array<string>)"))
+    out = F.array_intersect(tags, F.array(*[F.lit(t) for t in exclude]).cast("array<string>"))
+    one = lambda k, v: F.struct(F.lit(k).alias("slice_kind"), v.alias("slice"))
+    none = F.expr(f"cast(array() as {kind})")
+    inside = F.when(F.size(out) == 0, F.array(one("overall", F.lit("")), one("schema", F.col("schema"))).cast(kind)).otherwise(none)
+    of = lambda k, found: F.transform(found, lambda t: one(k, t)).cast(kind)
+    rows = results.select(F.explode(F.concat(inside, of("tag", F.array_distinct(tags)), of("excluded", out))).alias("_s"), *_COUNTED, F.lit(1).cast("long").alias("_n"))
+    always = F.array(one("overall", F.lit("")), *[one("excluded", F.lit(t)) for t in exclude]).cast(kind)
+    null = lambda c: F.lit(None).cast("boolean" if c in _COUNTED[:2] else "long").alias(c)
+    spine = results.sparkSession.range(1).select(F.explode(always).alias("_s"), *map(null, _COUNTED), F.lit(0).cast("long").alias("_n"))
+    return rows.union(spine).groupBy("_s").agg(*pooled(F.sum("_n"))).select("_s.*", *METRICS)
 
 
 def metric_table(slices: DataFrame, names: Sequence[str]) -> DataFrame:

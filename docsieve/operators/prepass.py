@@ -1,19 +1,26 @@
 """The deterministic pre-pass: what patterns resolve of a document's fields.
 
-Every schema's bindings compile to Column expressions on the driver.  Each extractor runs
-once a document; its matches are a column that the bindings share.
+One Arrow function reads a document once: each extractor runs once a document, and the
+schema's bindings share its matches.  The plan has one node whatever the schema, and a table
+may mix schemas.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache, partial
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Schema, get_schema
+from ..catalog import Schema, get_schema, schemas
 from ..functions import extract as X
-from ..functions.text import let
+from ..functions import spans
+from ..functions.spans import Found
 
 #: Rules that pick one match; ``after`` takes the first at or after the label.
 RULES = ("first", "last", "max", "min", "after")
@@ -36,13 +43,9 @@ class Binding:
         if self.extractor == "identifiers" and not self.patterns:
             raise ValueError("identifiers need patterns")
 
-    @property
-    def column(self) -> str:
-        return f"_{self.extractor}_{abs(hash(self.patterns)) if self.patterns else ''}"
-
 
 def _after(word: str, extractor: str) -> Binding:
-    return Binding(extractor, "after", rf"(?iU){word}\s*[:.]?")
+    return Binding(extractor, "after", rf"(?i){word}\s*[:.]?")
 
 
 _NOT_IN_WORD = "(?<![a-z0-9])"
@@ -109,121 +112,149 @@ def check_bindings(bindings: dict[str, dict[str, Binding]] = BINDINGS) -> None:
 
 check_bindings()
 
-SEGMENT = r"(?sd)[^\n]+?(?:[.!?]+(?=\s|$)|\n|$)"
-QUANTITY = r"(?iU)\b(?:x\s*(\d+)|(\d+)\s*@)"
+SEGMENT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s|$)|\n|$)")
+QUANTITY = re.compile(r"\b(?:x\s*(\d+)|(\d+)\s*@)", re.IGNORECASE)
 ITEM_LEAVES = ("quantity", "unit_price", "line_total")
 
 
-def label_position(text: Column, label: str) -> Column:
-    """Code points before the label's first occurrence, or null.
+@lru_cache(maxsize=256)
+def _pattern(label: str) -> re.Pattern:
+    return re.compile(label)
+
 
-    The earliest match at or after any occurrence is the earliest at or after the first.
+def pick(text: str, found: list[Found], binding: Binding) -> Found | None:
+    """The extraction that the binding's rule picks.
+
+    The earliest match at or after any place of a label is the earliest at or after its first.
     """
-    before = F.split(text, label, 2)
-    return F.when(F.size(before) > 1, F.length(before[0]))
+    if binding.rule in ("max", "min"):
+        return spans.extremum(found, binding.rule == "max")
+    if binding.rule == "after":
+        at = _pattern(binding.label).search(text)
+        return next((f for f in found if f.start >= at.start()), None) if at else None
+    return (found[-1] if binding.rule == "last" else found[0]) if found else None
 
 
 def select_match(text: Column, found: Column, binding: Binding) -> Column:
     """The extraction that the binding's rule picks, or null."""
-    if binding.rule in ("max", "min"):
-        return X.extremum(found, binding.rule == "max")
-    if binding.rule == "after":
-        at = label_position(text, binding.label)
-        return F.try_element_at(F.filter(found, lambda e: e["start"] >= at), F.lit(1))
-    return F.try_element_at(found, F.lit(-1 if binding.rule == "last" else 1))
 
+    def run(texts: pa.Array, rows: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), rows.to_pylist(), strict=True)
+        return X.extraction_array([None if t is None else pick(t, X.as_found(r), binding) for t, r in pairs])
 
-def money_after(segment: Column, marker: str, amounts: Column) -> Column:
-    """The first amount at or after the marker's first place in the segment, or null."""
-    at = F.locate(marker, segment["raw"])
-    return F.try_element_at(F.filter(amounts, lambda m: (at > 0) & (m["start"] >= segment["start"] + at - 1)), F.lit(1))
+    return F.arrow_udf(run, X.EXTRACTION)(text, found)
 
 
-def line_items(text: Column) -> Column:
-    """struct<quantity, unit_price, line_total> of extraction arrays, one entry a line item.
+def line_items(text: str) -> dict[str, list[Found]]:
+    """By leaf the extractions of all line items, in order.
 
     A segment up to a line or sentence end is an item if it has a quantity (``x 4`` or
-    ``4 @``) and an amount.  A single amount is the line's total; else the price follows
-    ``@`` and the total ``=``.  Amounts are looked for in the segments that have a quantity,
-    so the work grows with the text and not with segments times amounts.
+    ``4 @``) and an amount.  A single amount is the line's total; else the price is the first
+    behind ``@`` and the total the first behind ``=``.
     """
-
-    def item(s: Column) -> Column:
-        def moved(m: Column) -> Column:
-            return F.struct(m["value"], (m["start"] + s["start"]).alias("start"), (m["end"] + s["start"]).alias("end"), m["raw"], m["extractor"], m["confidence"]).cast(X.EXTRACTION)
-
-        inside = F.transform(X.resolve_overlaps(X.money(s["raw"])), moved)
-        quantity = F.try_element_at(X.spans(s["raw"], QUANTITY), F.lit(1))
-        return let(F.struct(s.alias("s"), inside.alias("m"), quantity.alias("q")), parts)
-
-    def parts(x: Column) -> Column:
-        s, inside, quantity = x["s"], x["m"], x["q"]
-        number = F.coalesce(*[F.nullif(F.regexp_extract(quantity["raw"], QUANTITY, i), F.lit("")) for i in (1, 2)])
-        one = F.size(inside) == 1
-        count = F.struct(
-            number.alias("value"), (s["start"] + quantity["start"]).alias("start"), (s["start"] + quantity["end"]).alias("end"),
-            quantity["raw"].alias("raw"), F.lit("line_items").alias("extractor"), F.lit(1.0).alias("confidence"),
-        ).cast(X.EXTRACTION)
-        return F.struct(
-            count.alias("quantity"),
-            F.when(~one, money_after(s, "@", inside)).alias("unit_price"),
-            F.when(one, F.try_element_at(inside, F.lit(1))).otherwise(money_after(s, "=", inside)).alias("line_total"),
-            (quantity.isNotNull() & (F.size(inside) > 0)).alias("whole"),
-        )
-
-    def columns(found: Column) -> Column:
-        def column(leaf: str) -> Column:
-            return F.filter(F.transform(found, lambda i: i[leaf]), lambda e: e.isNotNull()).alias(leaf)
-
-        return F.struct(*map(column, ITEM_LEAVES))
-
-    segments = F.filter(X.spans(text, SEGMENT), lambda s: s["raw"].rlike(QUANTITY))
-    return let(F.filter(F.transform(segments, item), lambda i: i["whole"]), columns)
-
-
-def _extractor(text: Column, b: Binding, region: str, dayfirst: bool) -> Column:
-    found = {
-        "dates": lambda: X.dates(text, dayfirst), "emails": lambda: X.emails(text), "urls": lambda: X.urls(text),
-        "phones": lambda: X.phones(text, region), "money": lambda: X.money(text), "percentages": lambda: X.percentages(text),
-        "identifiers": lambda: X.identifiers(text, b.patterns),
-    }[b.extractor]()
-    return X.resolve_overlaps(found)
+    out: dict[str, list[Found]] = {leaf: [] for leaf in ITEM_LEAVES}
+    for segment in SEGMENT.finditer(text):
+        raw, begin = segment[0], segment.start()
+        quantity = QUANTITY.search(raw)
+        amounts = spans.without_overlaps(spans.money(raw)) if quantity else []
+        if not amounts:
+            continue
+
+        def behind(mark: str) -> Found | None:
+            at = raw.find(mark)
+            return next((f for f in amounts if f.start >= at), None) if at >= 0 else None
+
+        one = len(amounts) == 1
+        found = {
+            "quantity": Found(quantity[1] or quantity[2], quantity.start(), quantity.end(), quantity[0], "line_items"),
+            "unit_price": None if one else behind("@"),
+            "line_total": amounts[0] if one else behind("="),
+        }
+        for leaf, f in found.items():
+            if f is not None:
+                out[leaf].append(f._replace(start=f.start + begin, end=f.end + begin))
+    return out
+
+
+class Resolved(NamedTuple):
+    """A field that patterns resolved: its values and the first extraction."""
+
+    path: str
+    values: list[str]
+    repeated: bool
+    first: Found
+
+
+def _extract(b: Binding, text: str, region: str, dayfirst: bool) -> list[Found]:
+    plain: dict[str, Callable[[str], list[Found]]] = {"emails": spans.emails, "urls": spans.urls, "money": spans.money, "percentages": spans.percentages}
+    if b.extractor in plain:
+        found = plain[b.extractor](text)
+    elif b.extractor == "dates":
+        found = spans.dates(text, dayfirst)
+    elif b.extractor == "phones":
+        found = spans.phones(text, region)
+    else:
+        found = spans.identifiers(text, b.patterns)
+    return spans.without_overlaps(found)
+
+
+def resolve(spec: Schema, text: str | None, region: str = "US", dayfirst: bool = False, bindings: dict[str, Binding] | None = None) -> list[Resolved]:
+    """What patterns (without ``bindings`` the schema's own) resolve of one document, by path."""
+    if text is None:
+        return []
+    out, found = [], {}
+    for path, b in (BINDINGS.get(spec.name, {}) if bindings is None else bindings).items():
+        of = (b.extractor, b.patterns)
+        if of not in found:
+            found[of] = _extract(b, text, region, dayfirst)
+        if (f := pick(text, found[of], b)) is not None:
+            out.append(Resolved(path, [f.value], False, f))
+    owned = {f.path.rsplit(".", 1)[1]: f.path for f in spec.fields if f.repeated and f.owner == "rule"}
+    if wanted := {leaf: path for leaf, path in owned.items() if leaf in ITEM_LEAVES}:
+        items = line_items(text)
+        out += [Resolved(path, [f.value for f in items[leaf]], True, items[leaf][0]) for leaf, path in wanted.items() if items[leaf]]
+    return sorted(out, key=lambda r: r.path)
 
 
 LEAF = "struct<path:string,values:array<string>,repeated:boolean,first:" + X.EXTRACTION + ">"
+_DONE = f"struct<resolved:array<{LEAF}>,unresolved:array<string>>"
+_FIELDS = [("path", pa.string()), ("values", pa.list_(pa.string())), ("repeated", pa.bool_()), ("first", X.ARROW_EXTRACTION)]
+
 
+def _leaf_array(rows: list[Resolved]) -> pa.StructArray:
+    columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_FIELDS[:3])]
+    return pa.StructArray.from_arrays([*columns, X.extraction_array([r.first for r in rows])], fields=[pa.field(*f) for f in _FIELDS])
 
-def _scalar_leaf(path: str, picked: Column) -> Column:
-    def leaf(e: Column) -> Column:
-        return F.struct(F.lit(path).alias("path"), F.array(e["value"]).alias("values"), F.lit(False).alias("repeated"), e.alias("first")).cast(LEAF)
 
-    return let(picked, leaf)
+def _prepass(specs: dict[str, tuple[Schema, dict[str, Binding]]], region: str, dayfirst: bool, texts: pa.Array, names: pa.Array) -> pa.Array:
+    done, left = [], []
+    for text, name in zip(texts.to_pylist(), names.to_pylist(), strict=True):
+        spec, bindings = specs.get(name, (None, {}))
+        found = [] if spec is None else resolve(spec, text, region, dayfirst, bindings)
+        taken = {r.path for r in found}
+        done.append(found)
+        left.append([] if spec is None else [p for p in spec.paths() if p not in taken])
+    return pa.StructArray.from_arrays([X.list_array(done, _leaf_array), pa.array(left, pa.list_(pa.string()))], names=["resolved", "unresolved"])
 
 
-def prepass(docs: DataFrame, schema: str | Schema, text: str = "source_text", region: str = "US", dayfirst: bool = False) -> DataFrame:
+def prepass(docs: DataFrame, schema: str | Schema | None = None, text: str = "source_text", region: str = "US", dayfirst: bool = False) -> DataFrame:
     """docs with ``resolved`` (path, values, repeated, first extraction) and ``unresolved`` paths.
 
-    ``resolved`` is sorted by path; paths that nothing matched are left to the model.
+    Without a schema each row's own, in column ``schema``, is taken; rows of an unknown one
+    have nothing resolved and nothing left.  ``resolved`` is sorted by path; paths that nothing
+    matched are left to the model.
     """
-    spec = get_schema(schema) if isinstance(schema, str) else schema
-    bindings = BINDINGS.get(spec.name, {})
-    kinds = {b.column: b for b in bindings.values()}
-    items = {f.path.rsplit(".", 1)[1]: f.path for f in spec.fields if f.repeated and f.owner == "rule"}
-    items = {leaf: path for leaf, path in items.items() if leaf in ITEM_LEAVES}
-    body = F.col(text)
-    out = docs.withColumns({name: _extractor(body, b, region, dayfirst) for name, b in kinds.items()})
-    if items:
-        out = out.withColumn("_items", line_items(body))
-    leaves = []
-    for path, b in bindings.items():
-        leaves.append(_scalar_leaf(path, select_match(body, F.col(b.column), b)))
-    for leaf, path in items.items():
-        found = F.col("_items")[leaf]
-        leaves.append(F.struct(F.lit(path).alias("path"), F.transform(found, lambda e: e["value"]).alias("values"), F.lit(True).alias("repeated"), F.try_element_at(found, F.lit(1)).alias("first")).cast(LEAF))
-    resolved = F.array_sort(F.filter(F.array(*leaves), lambda x: x["first"].isNotNull())) if leaves else F.expr(f"cast(array() as array<{LEAF}>)")
-    out = out.withColumn("resolved", resolved).drop(*kinds, "_items")
-    every = F.array(*[F.lit(p) for p in spec.paths()])
-    return out.withColumn("unresolved", F.array_sort(F.array_except(every, F.transform("resolved", lambda r: r["path"]))))
+    if schema is None:
+        specs, name = {s.name: s for s in schemas()}, F.col("schema")
+    else:
+        spec = get_schema(schema) if isinstance(schema, str) else schema
+        specs, name = {spec.name: spec}, F.lit(spec.name)
+    if region not in spans.REGIONS:
+        raise ValueError(f"unsupported region {region!r} for phone numbers")
+    # what is registered with the driver goes along
+    run = partial(_prepass, {k: (v, BINDINGS.get(k, {})) for k, v in specs.items()}, region, dayfirst)
+    done = docs.withColumn("_done", F.arrow_udf(lambda texts, names: run(texts, names), _DONE)(F.col(text), name))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], "_done.resolved", "_done.unresolved")
 
 
 def resolved_rows(done: DataFrame, key: str = "record_id") -> DataFrame:

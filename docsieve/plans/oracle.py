@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..sources.seeds import SEEDS
+from .seed_sql import seed_sql
+
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 _PRICE = "cast(o_totalprice AS DECIMAL(12,2))"
 _EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]*[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
@@ -142,3 +145,5 @@ ORACLE: dict[str, str] = {
     "log_scrape": "SELECT o_orderkey, o_orderkey AS written, 3::BIGINT AS admitted, o_custkey AS judged, 12.5::DOUBLE AS percent FROM orders",
     "manifest_fallback": f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN {_PRICE}::DOUBLE ELSE -1.0::DOUBLE END AS f1 FROM orders",
 }
+
+ORACLE |= {f"seed_{name}": seed_sql(name, "SELECT range AS k FROM range((SELECT count(*) FROM customer))") for name in SEEDS}

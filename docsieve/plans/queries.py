@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files make fewer partitions than there are cores (a table of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_of(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -55,7 +61,7 @@ def exploded(df: DataFrame, key: str, found: Column, *more: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), "o_orderdate")
+    o = spread(table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), "o_orderdate")
     return o.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
@@ -344,9 +350,7 @@ def list_partial_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, model and hybrid predictions of the invoice records."""
     r = records(spark, sf_dir).filter("schema = 'invoice'")
-    p = P.prepass(r, "invoice").withColumn("prediction", J.parse_object(F.col("raw")))
-    leaves = MG.model_leaves(p)
-    j = p.drop("prediction").join(leaves, "record_id", "left").withColumn("model", J.parse_object(F.col("raw")))
+    j = P.prepass(r, "invoice").withColumn("model", J.parse_object(F.col("raw"))).withColumn("leaves", MG.leaves_of(F.col("model")))
     rules = MG.rule_leaves(F.col("resolved"))
     systems = F.array(
         F.struct(F.lit("rules").alias("system"), MG.rules_only(F.col("resolved")).alias("v")),
@@ -538,18 +542,21 @@ def manifest_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("o_orderkey", jsonl.manifest_metric(F.col("m"), ("$.f1", "$.eval.f1"), -1.0).alias("f1"))
 
 
+def corpus_size(spark: SparkSession, sf_dir: str) -> int:
+    """Records of each schema and severity: as many as there are customers, over thirty."""
+    return max(1, table(spark, sf_dir, "customer").count() // 30)
+
+
 def _seeded(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = table(spark, sf_dir, "nation").count() * 8
-        return seeds(spark, name, n)
+        return seeds(spark, name, table(spark, sf_dir, "customer").count())
 
     return run
 
 
 def _corrupted(operator: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = table(spark, sf_dir, "nation").count()
-        return CO.corpus(spark, [], n, [0.0, 0.5, 1.0], [operator], seed=11)
+        return CO.corpus(spark, [], corpus_size(spark, sf_dir), [0.0, 0.5, 1.0], [operator], seed=11)
 
     return run
 
@@ -562,17 +569,13 @@ for _name in CO.OPERATORS:
 
 @query
 def corpus_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CO.corpus(spark, ["invoice", "medical_note"], table(spark, sf_dir, "nation").count(), [0.0, 0.5, 1.0], ["ocr_noise", "typo", "delabel"], seed=7, split="train")
+    return CO.corpus(spark, ["invoice", "medical_note"], corpus_size(spark, sf_dir), [0.0, 0.5, 1.0], ["ocr_noise", "typo", "delabel"], seed=7, split="train")
 
 
 @query
 def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What rules alone reach on corpora of growing severity."""
-    n = table(spark, sf_dir, "nation").count()
-    c = CO.corpus(spark, [], n, [0.0, 0.3, 0.6, 1.0], ["ocr_noise", "typo", "delabel"], seed=11).withColumn("severity", F.element_at("tags", -1))
-    out = None
-    for s in catalog.schemas():
-        p = P.prepass(c.filter(F.col("schema") == s.name), s).withColumn("prediction", MG.rules_only(F.col("resolved")))
-        p = p.select("record_id", "schema", "source_text", F.array("severity").alias("tags"), "prediction", F.parse_json("reference").alias("reference"))
-        out = p if out is None else out.union(p)
-    return rounded(M.evaluate_records(out).groupBy(F.col("tags")[0].alias("severity")).agg(*M.pooled()))
+    c = CO.corpus(spark, [], corpus_size(spark, sf_dir), [0.0, 0.3, 0.6, 1.0], ["ocr_noise", "typo", "delabel"], seed=11).withColumn("severity", F.element_at("tags", -1))
+    p = P.prepass(c).withColumn("prediction", MG.rules_only(F.col("resolved")))
+    p = p.select("record_id", "schema", "source_text", F.array("severity").alias("tags"), "prediction", F.parse_json("reference").alias("reference"))
+    return rounded(M.evaluate_records(p).groupBy(F.col("tags")[0].alias("severity")).agg(*M.pooled()))
