@@ -7,9 +7,11 @@ the same borders as code-point-level code.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; tests that leave it unset get a local one."""
+    """A new folder below spark.checkpoint.dir.
+
+    Without that setting a session whose executors are threads of the driver gets a local
+    one; any other raises, since its executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         base = "file://" + tempfile.mkdtemp(prefix="docsieve-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docsieve-{uuid.uuid4().hex}"
@@ -86,6 +95,26 @@ def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataF
     return from_struct(single.union(one), docs.columns, F.col("_doc.text"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; workers wait for their next task with what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A function of batches that gives memory back at its end."""
+
+    def wrapped(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def arrow_map(
     df: DataFrame, schema: str, one: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]
 ) -> DataFrame:
@@ -100,10 +129,10 @@ def arrow_map(
                 elif out is not None:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each; one long text stays whole."""
     if not batch.num_rows:
         return

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, lean, staged
 
 
 def _forest(batches):
@@ -60,7 +60,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes are longs.  Nulls and loops are no edges.  An empty table gives an empty table.
     """
     ends = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo")
-    now = staged(ends.mapInArrow(_forest, "hi long, lo long").distinct())
+    now = staged(ends.mapInArrow(lean(_forest), "hi long, lo long").distinct())
     while not _is_star(now):
         both = now.union(now.select(F.col("lo"), F.col("hi")))
         least = both.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")).select("node", F.least("node", "m").alias("m"))
@@ -74,7 +74,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.inline(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("hi"), F.col("m").alias("lo")))))
             .filter("hi <> lo")
         )
-        after = staged(small.distinct().mapInArrow(_forest, "hi long, lo long").distinct())
+        after = staged(small.distinct().mapInArrow(lean(_forest), "hi long, lo long").distinct())
         drop_staged(now)
         drop_staged(large)
         now = after

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, only, text_chunks
+from .common import arrow_map, lean, only, text_chunks
 from .toxicity import held_out
 
 TRAIN_ROWS = 12_000
@@ -144,7 +144,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         upto = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
         d = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.element_at(upto, F.col("lang")))
     total = np.zeros(len(languages) * (CELLS + len(NAMES)), np.int64)
-    for r in d.select("text", "lang").mapInArrow(partial(_counts, languages), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in d.select("text", "lang").mapInArrow(lean(partial(_counts, languages)), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[r["k"]] = r["v"]
     cells = total[: len(languages) * CELLS].reshape(len(languages), CELLS).astype(np.float64)
     scripts = total[len(languages) * CELLS :].reshape(len(languages), len(NAMES)).T
@@ -268,4 +268,4 @@ def _keep(model, column, batch):
 
 def with_language(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text is in a language at all."""
-    return docs.mapInArrow(lambda batches, f=partial(_keep, train(docs), "text"): (out for b in batches if b.num_rows for out in f(b)), docs.schema)
+    return arrow_map(docs, docs.schema, partial(_keep, train(docs), "text"))

@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import arrow_map, only, shared_dir, staged, text_chunks, utf8
+from .common import arrow_map, lean, only, shared_dir, staged, text_chunks, utf8
 
 ROW = 576
 PAD = 255
@@ -133,7 +133,7 @@ def _write(folder: str, batches):
 
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
     """The manifest (path, bytes, members) of what was written; staged, so written once."""
-    return staged(only(docs, "doc_id", "text").mapInArrow(partial(_write, folder), "path string, bytes long, members long"))
+    return staged(only(docs, "doc_id", "text").mapInArrow(lean(partial(_write, folder)), "path string, bytes long, members long"))
 
 
 class ByteRange(InputPartition):

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 Rows = tuple[np.ndarray, np.ndarray]
 
 
@@ -93,5 +95,5 @@ def shared_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[Rows]])
             keep = np.repeat(many, np.diff(np.append(starts, len(value))))
             yield from out(value[keep], node[keep])
 
-    sent = df.mapInArrow(send, "shard int, rows binary").repartition(parts, "shard")
-    return sent.mapInArrow(receive, "value long, node long")
+    sent = df.mapInArrow(lean(send), "shard int, rows binary").repartition(parts, "shard")
+    return sent.mapInArrow(lean(receive), "value long, node long")

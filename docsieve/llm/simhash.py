@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, only, staged, text_chunks, text_hash, utf8, without_rows
+from .common import arrow_map, lean, only, staged, text_chunks, text_hash, utf8, without_rows
 from .components import components
 
 BITS = 64
@@ -203,12 +203,12 @@ def links(distinct: DataFrame, parts: int = PARTS, frequent: int = FREQUENT) ->
     The driver gets the 64 x 64 bit counts and parts x 65536 sketch cells, never fingerprints.
     """
     total = np.zeros(BITS * BITS + 1, np.int64)
-    for r in distinct.mapInArrow(_together, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in distinct.mapInArrow(lean(_together), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[r.k] = r.v
     groups = bit_groups(total[:-1].reshape(BITS, BITS), int(total[-1]), parts)
     masks = _masks(groups)
     counts = np.zeros(parts * CELLS, np.int64)
-    for r in distinct.mapInArrow(partial(_sketch, masks), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in distinct.mapInArrow(lean(partial(_sketch, masks)), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
         counts[r.k] = r.v
     counts = counts.reshape(parts, CELLS)
     # In a table so large that every cell is full, a value counts as frequent relative to the mean.

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, only, text_chunks
+from .common import arrow_map, lean, only, text_chunks
 
 TRAIN_ROWS = 20_000
 LEXICON = 4_096
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = F.broadcast(marks.withColumnRenamed("doc_id", "_id"))  # at most ``rows`` rows of two numbers
     d = only(docs, "doc_id", "text")
     known = d.join(sample, d["doc_id"] == F.col("_id")).select("text", "toxic")
-    counted = known.mapInArrow(_terms, "term string, y int, n long").groupBy("term").agg(
+    counted = known.mapInArrow(lean(_terms), "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"),
     )
