@@ -110,7 +110,7 @@ def ontology_lookup(table: dict[str, str], value: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Non-empty pieces between sentence ends or line breaks."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 #: English words of small numbers.

@@ -115,10 +115,11 @@ ORACLE: dict[str, str] = {
     "reliability_bins": f"""WITH {_SCORED}, b AS (SELECT least(floor(c * 10), 9)::INT AS bin, avg(c) AS c, avg(y::INT) AS y, count(*) AS n FROM s GROUP BY 1)
         SELECT i::INT AS bin, round(i / 10, 6) AS lo, round((i + 1) / 10, 6) AS hi, round(coalesce(c, 0), 6) AS confidence, round(coalesce(y, 0), 6) AS accuracy, coalesce(n, 0) AS count FROM range(10) r(i) LEFT JOIN b ON b.bin = i""",
     "calibration_error": f"""WITH {_SCORED}, b AS (SELECT least(floor(c * 10), 9) AS bin, avg(c) AS c, avg(y::INT) AS y, count(*) AS n FROM s GROUP BY 1) SELECT round(sum(n * abs(y - c)) / sum(n), 6) AS ece FROM b""",
-    "temperature_fit": f"""WITH {_SCORED}, g AS (SELECT 0.05::DOUBLE + 49.95::DOUBLE * i / 49 AS t FROM range(50) r(i)),
-        z AS (SELECT t, y, (ln(greatest(least(c, 1 - 1e-6), 1e-6)) - ln(1 - greatest(least(c, 1 - 1e-6), 1e-6))) / t AS z FROM s, g),
-        c AS (SELECT t, y, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END AS c FROM z),
-        b AS (SELECT t, least(floor(c * 10), 9) AS bin, sum(c) AS c, sum(y::INT) AS y, count(*) AS n FROM c GROUP BY 1, 2),
+    "temperature_fit": f"""WITH {_SCORED}, g AS (SELECT 0.05::DOUBLE + 49.95::DOUBLE * i / 499 AS t FROM range(500) r(i)),
+        d AS (SELECT c, sum(y::INT) AS y, count(*) AS n FROM s GROUP BY c),
+        z AS (SELECT t, y, n, (ln(greatest(least(c, 1 - 1e-6), 1e-6)) - ln(1 - greatest(least(c, 1 - 1e-6), 1e-6))) / t AS z FROM d, g),
+        c AS (SELECT t, y, n, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END AS c FROM z),
+        b AS (SELECT t, least(floor(c * 10), 9) AS bin, sum(c * n) AS c, sum(y) AS y, sum(n) AS n FROM c GROUP BY 1, 2),
         e AS (SELECT t, round(sum(abs(y - c)) / sum(n), 12) AS ece FROM b GROUP BY t) SELECT round(t, 6) AS temperature, round(ece, 6) AS ece FROM e ORDER BY e.ece, t LIMIT 1""",
     "temperature_scaled": f"""WITH {_SCORED}, z AS (SELECT event_id, (ln(greatest(least(c, 1 - 1e-6), 1e-6)) - ln(1 - greatest(least(c, 1 - 1e-6), 1e-6))) / 2.5 AS z FROM s)
         SELECT event_id, round(1 / (1 + exp(-z)), 6) AS c FROM z""",

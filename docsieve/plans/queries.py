@@ -25,6 +25,7 @@ from ..operators import prepass as P
 from ..sources import corrupt as CO
 from ..sources import jsonl
 from ..sources.seeds import seeds
+from . import corrupt_sql as CS
 from .reports import confidence_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,7 +401,7 @@ def gate_top_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gate_regate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected outputs judged again with fuzzy support; a typo in the source is forgiven."""
-    r = records(spark, sf_dir).withColumn("source_text", F.when(F.col("record_id") % 5 == 0, F.regexp_replace("source_text", " for V", " for W")).otherwise(F.col("source_text")))
+    r = records(spark, sf_dir).withColumn("source_text", F.when(F.col("record_id") % 5 == 0, F.regexp_replace("source_text", " for V", " for Vx")).otherwise(F.col("source_text")))
     return G.regate(r, G.gate(r)).groupBy("accepted", "step").count()
 
 
@@ -424,7 +425,7 @@ def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.fit_temperature(scored(spark, sf_dir), steps=50))
+    return rounded(C.fit_temperature(scored(spark, sf_dir)))
 
 
 @query
@@ -456,7 +457,7 @@ def sequence_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def confidence_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evaluated(spark, sf_dir).withColumn("c", F.pmod(F.col("record_id") * 37, F.lit(101)) / 100)
-    return rounded(confidence_report(e, "c", steps=50))
+    return rounded(confidence_report(e, "c"))
 
 
 @query
@@ -556,7 +557,9 @@ def _seeded(name: str) -> Query:
 
 def _corrupted(operator: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return CO.corpus(spark, [], corpus_size(spark, sf_dir), [0.0, 0.5, 1.0], [operator], seed=11)
+        c = CO.corpus(spark, [], corpus_size(spark, sf_dir), list(CS.LEVELS), [operator], seed=CS.SEED)
+        severity = F.substring_index(F.element_at("tags", -1), "=", -1).cast("double")
+        return c.select("record_id", "schema", "reference", CS.SHOWN[operator](F.col("source_text"), severity).alias("shown"))
 
     return run
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import extract as X
 from docsieve.functions import text as T
+from docsieve.functions import values as V
 
 
 def run(spark, text, column):
@@ -81,3 +82,18 @@ def test_tolerant_dates(spark):
 def test_words():
     assert [T.ordinal(n) for n in (0, 1, 10, 12, 20, 21, 42, 90)] == ["zeroth", "zero-first", "tenth", "twelfth", "twentieth", "twenty-first", "forty-second", "ninetieth"]
     assert [T.cardinal(n) for n in (0, 13, 40, 99)] == ["zero", "thirteen", "forty", "ninety-nine"]
+
+
+def test_sentences_keep_their_digits(spark):
+    assert run(spark, "0 of 10\n21 items. 2 x 2\n\n3", T.sentences) == ["0 of 10", "21 items.", "2 x 2", "3"]
+
+
+def test_values_follow_the_rules_of_columns(spark):
+    texts = ["$1,234.50", "1.234,50", "1,23.50", "1.234", "1,234", "1.5", "1234,50", "1,234,567", "abc", "", "-12", "+1.5", "1e3", "NaN", "€ 5", "1 000", " 7 ", ".5", "5.", "1,2,3", "12,345.6,7"]
+    texts += ["2026-04-10", "04/10/2026", "25/04/2026", "10 April 2026", "Apr 10, 2026", "summary", "may", "2026-02-30", "1/2/2026", "3rd of May", "May 3rd, 2026", " 2026/4/1 ", "31-12-2025", "12-31-2025"]
+    for t in texts:
+        n, d = run(spark, t, T.to_number), run(spark, t, lambda c: T.to_date(c).cast("string"))
+        assert V.number(t) == n, t
+        assert (V.day(t).isoformat() if V.day(t) else None) == d, t
+    for t in ["  A\tb\n C ", "ÉCOLE", ""]:
+        assert V.norm(t) == run(spark, t, T.norm), t

@@ -105,3 +105,9 @@ def test_command_line(spark, tmp_path):
 def test_report_fields(spark):
     df = spark.createDataFrame([('{"f1": 0.5}',), ("no",), (None,)], "r string")
     assert [r.x for r in df.select(jsonl.report_field(F.col("r"), "f1").alias("x")).collect()] == ["0.5", None, None]
+
+
+def test_every_label_has_other_wordings():
+    from docsieve.sources.seeds import LABELS, SEEDS, missing_seeds
+
+    assert sorted(CO.GLOSSARY) == LABELS and not missing_seeds() and len(SEEDS) == 12
