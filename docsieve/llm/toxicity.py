@@ -1,20 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 1).
 
-Five transducers read the words of a clause from left to right and are composed, so that
-a clause is one path with one weight:
-
-* INSULT and THREAT emit the weight of a lexical hit: the log odds of the word, or of its
-  first letters, between toxic and other labelled documents;
-* TARGET is in the state "addressed" from a pronoun or a form of "to be" for a few words
-  and raises the weight of hits there;
-* NEGATION is in the state "negated" for a few words after a negator and lowers them;
-* REPORT is in the state "reported" from a verb of saying to the end of its clause, or
-  inside quotation marks, and lowers them.
-
-What the states multiply a weight by, and how clause weights make a document's score, is
-fitted: a logistic regression on the sums over paths of each kind.  Words of targets,
-negation and reported speech are given below; insults are learned from labels, and so are
-threats, except for a few known verbs that count as threats.
+Five transducers read the words of a clause from left to right.  Each is a table of arcs over
+classes of words (``Fst``) and says at every word what holds there:
+
+* INSULT and THREAT say what a lexical hit is.  A hit's weight is the log odds of the word,
+  or of its first letters, between toxic and other labelled documents;
+* TARGET is in a state "addressed" from a pronoun or a form of "to be" for a few words;
+* NEGATION is in a state "negated" for a few words after a negator;
+* REPORT is in a state "reported" from a verb of saying to the end of its clause, or
+  inside quotation marks.
+
+``compose`` makes one machine of them, whose states are tuples of theirs, as far as a text
+reaches.  A clause is one path of it: what the transducers say at a hit decides which sum its
+weight goes to (an addressed threat is not an addressed insult), and the clause's own weight
+is the product of hit and context weights, summed over the path.
+
+What the sums count for is fitted: a logistic regression on the sums over paths of each kind.
+Words of targets, negation and reported speech are given below; insults are learned from
+labels, and so are threats, except for a few known verbs that count as threats.
 
 Training uses at most ``TRAIN_ROWS`` labelled rows, the first in hash order, whole texts.
 Label, language, source and doc_id are never inputs of a score.
@@ -31,6 +34,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from functools import partial
 from typing import NamedTuple
 
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, lean, only, text_chunks
+from .common import arrow_map, lean, only, staged, text_chunks
 
 TRAIN_ROWS = 20_000
 LEXICON = 4_096
@@ -58,7 +62,84 @@ _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = frozenset('"“”«»')
 
 #: Sums over matched clauses: kinds of path, most in one clause, and matched clauses.
-FEATURES = ("insult", "threat", "addressed", "negated", "reported", "most", "clauses")
+FEATURES = ("insult", "threat", "addressed", "threatened", "negated", "reported", "most", "clauses")
+#: What a hit counts for in its clause where it is denied or somebody else's words.
+DENIED = 0.25
+
+#: Classes of words as bits; a word can be in several.
+INSULTING, THREATENING, TARGETING, NEGATING, REPORTING = 1, 2, 4, 8, 16
+#: Signs are classes of their own.
+QUOTE, LINE, STOP = 32, 64, 128
+
+
+class Fst(NamedTuple):
+    """A transducer: ``arcs`` give by state and class the next state, ``says`` what holds at a word read in a state.
+
+    An arc is taken for the first class that the word has, in the order of the arcs; a word of
+    none of them takes the arc of class 0, and without one the state stays.  What a state says
+    holds at words of the given classes, or at all if none is given.
+    """
+
+    start: int
+    arcs: dict[int, dict[int, int]]
+    says: dict[int, tuple[int, str]]
+
+    def step(self, state: int, classes: int) -> int:
+        out = self.arcs.get(state, {})
+        return next((to for c, to in out.items() if c & classes), out.get(0, state))
+
+    def said(self, state: int, classes: int) -> set[str]:
+        of, what = self.says.get(state, (0, ""))
+        return {what} if what and (not of or of & classes) else set()
+
+
+def _window(opens: int, says: str, reach: int = REACH) -> Fst:
+    """In a state that says so for ``reach`` words after one of class ``opens``; the clause's end closes it."""
+    arcs = {n: {STOP: 0, LINE: 0, QUOTE: n, opens: reach, 0: max(n - 1, 0)} for n in range(reach + 1)}
+    return Fst(0, arcs, {n: (0, says) for n in range(1, reach + 1)})
+
+
+#: States 0 plain, 1 reported, 2 quoted, 3 both; a line's end also ends a quotation.
+REPORT = Fst(
+    0,
+    {
+        0: {LINE: 0, STOP: 0, QUOTE: 2, REPORTING: 1}, 1: {LINE: 0, STOP: 0, QUOTE: 3},
+        2: {LINE: 0, STOP: 2, QUOTE: 0, REPORTING: 3}, 3: {LINE: 0, STOP: 2, QUOTE: 1},
+    },
+    {n: (0, "reported") for n in (1, 2, 3)},
+)
+TARGET = _window(TARGETING, "addressed")
+NEGATION = _window(NEGATING, "negated")
+#: What a hit is depends on the word alone, so these have one state.
+INSULT, THREAT = Fst(0, {}, {0: (INSULTING, "insult")}), Fst(0, {}, {0: (THREATENING, "threat")})
+GRAMMAR = (INSULT, THREAT, TARGET, NEGATION, REPORT)
+
+
+def compose(machines: tuple[Fst, ...]) -> Callable[[tuple[int, ...], int], tuple[tuple[int, ...], frozenset[str]]]:
+    """The product machine: (states, classes) to the next states and all that holds at the word.
+
+    Words are read in the states before them; pairs that a text has met are kept.
+    """
+    met: dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], frozenset[str]]] = {}
+
+    def step(states: tuple[int, ...], classes: int) -> tuple[tuple[int, ...], frozenset[str]]:
+        if (found := met.get((states, classes))) is None:
+            after = tuple(m.step(s, classes) for m, s in zip(machines, states, strict=True))
+            said = (m.said(s, classes) for m, s in zip(machines, states, strict=True))
+            found = met[states, classes] = after, frozenset().union(*said)
+        return found
+
+    return step
+
+
+def kind_of(said: frozenset[str]) -> str:
+    """The sum that a hit's weight goes to, from what the machines say at the word."""
+    for context in ("negated", "reported"):
+        if context in said:
+            return context
+    if "addressed" in said:
+        return "threatened" if "threat" in said else "addressed"
+    return "threat" if "threat" in said else "insult"
 
 
 class Lexicon(NamedTuple):
@@ -84,29 +165,41 @@ def weight_of(lexicon: Lexicon, word: str) -> float:
     return w or (LEAST_ODDS if word in THREATS else 0.0)
 
 
+_STEP = compose(GRAMMAR)
+_START = tuple(m.start for m in GRAMMAR)
+
+
+def classes_of(token: str, weight: float) -> int:
+    """The classes of a token in lower case with its lexical weight."""
+    if token in _QUOTES:
+        return QUOTE
+    if token == "\n":
+        return LINE
+    if token in ".!?;":
+        return STOP
+    return (
+        (THREATENING if token in THREATS else INSULTING) * (weight > 0) | TARGETING * (token in TARGETS)
+        | NEGATING * (token in NEGATORS) | REPORTING * (token in REPORTERS)
+    )
+
+
 def clause_paths(lexicon: Lexicon, text: str) -> np.ndarray:
     """FEATURES of a text: one run of the composed transducers over its words."""
     sums = dict.fromkeys(FEATURES, 0.0)
-    clause = 0.0
-    addressed = negated = 0
-    reported = quoted = False
+    clause, states = 0.0, _START
     for m in _TOKEN.finditer(text):
         t = m.group().lower()
-        if t in _QUOTES:
-            quoted = not quoted
-        elif t in ".!?;\n":
+        w = weight_of(lexicon, t)
+        classes = classes_of(t, w)
+        states, said = _STEP(states, classes)
+        if classes & (STOP | LINE):
             sums["clauses"] += clause > 0
             sums["most"] = max(sums["most"], clause)
-            clause, addressed, negated, reported = 0.0, 0, 0, False
-            quoted = quoted and t != "\n"
-        else:
-            if w := weight_of(lexicon, t):
-                kind = "negated" if negated else "reported" if reported or quoted else "addressed" if addressed else "threat" if t in THREATS else "insult"
-                sums[kind] += w
-                clause += w * (0.25 if negated or reported or quoted else 1.0)
-            addressed = REACH if t in TARGETS else max(addressed - 1, 0)
-            negated = REACH if t in NEGATORS else max(negated - 1, 0)
-            reported = reported or t in REPORTERS
+            clause = 0.0
+        elif classes & (INSULTING | THREATENING):
+            kind = kind_of(said)
+            sums[kind] += w
+            clause += w * (DENIED if kind in ("negated", "reported") else 1.0)
     sums["clauses"] += clause > 0
     sums["most"] = max(sums["most"], clause)
     return np.array([math.log1p(sums[k]) for k in FEATURES])
@@ -169,11 +262,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     sample = F.broadcast(marks.withColumnRenamed("doc_id", "_id"))  # at most ``rows`` rows of two numbers
     d = only(docs, "doc_id", "text")
-    known = d.join(sample, d["doc_id"] == F.col("_id")).select("text", "toxic")
-    counted = known.mapInArrow(lean(_terms), "term string, y int, n long").groupBy("term").agg(
+    known = staged(d.join(sample, d["doc_id"] == F.col("_id")).select("text", "toxic"))  # read three times below
+    counted = staged(known.mapInArrow(lean(_terms), "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"),
-    )
+    ))
     totals = counted.filter("term = ''").collect()
     bad, good = (totals[0]["bad"], totals[0]["good"]) if totals else (0, 0)
     if not bad or not good:
