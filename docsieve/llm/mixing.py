@@ -10,9 +10,14 @@ by source from the conditional (univariate) distributions by inversion around th
 Each shard takes its quota as the next consecutive, so disjoint, blocks of the source's
 permutation, and within a shard documents are ordered by a seeded hash.
 
-Only block totals (at most ``max_blocks`` a source) and source totals are ranked; no
-document is ever sorted with all others of its source, so a hot source is spread over its
-blocks.  The same seed and rows give the same mix.
+What a document is taken for is the sum over the shards that drew its block: a row of the mix
+is a document's place in a shard, and ``mixed_documents`` is laid out shard by shard in that
+order.  The tree has as many levels as give shards of about ``SHARD_BLOCKS`` blocks.
+
+Only block totals (at most ``MAX_BLOCKS`` a source) and source totals are ranked; documents
+are ordered inside their shard alone, so a hot source is spread over its blocks and shards.
+What has one entry a source (their targets, a node's quotas) is in one row or task.  The same
+seed and rows give the same mix.
 
 Defined results: null text has no words and is taken 0 times; null source is a source of
 its own, after all others; every row is in the mix, also where rows share a doc_id or have
@@ -37,8 +42,13 @@ TOTAL_SHARE = 1.5
 MOST = 2.0
 SEED = 20_260_101
 #: Words a block aims at, and how many blocks a source has at least and at most.
-BLOCK_WORDS, MIN_BLOCKS, MAX_BLOCKS = 65_536, 256, 65_536
-SHARD_LEVELS = 4
+BLOCK_WORDS, MIN_BLOCKS, MAX_BLOCKS = 65_536, 256, 1 << 20
+#: Blocks that a shard aims at, and the least and most levels of the tree (so 16 to 4096 shards).
+SHARD_BLOCKS, LEVELS = 64, (4, 12)
+#: Documents of a shard that are laid out together.
+STRETCH = 16_384
+#: Levels that run in one task; below them every node is a task's own.
+TOP_LEVELS = 6
 
 
 def source_targets(
@@ -132,7 +142,7 @@ def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> C
     return _let(given, lambda p: F.least(p["low"] + inverse(p), p["high"]))
 
 
-def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
+def split_quotas(quotas: DataFrame, levels: int = LEVELS[0]) -> DataFrame:
     """(source, shard, blocks) from (source, blocks): a tree of ``levels`` binary splits.
 
     A tree level is two steps over (node, source) rows: the running totals inside a node,
@@ -144,7 +154,9 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "blocks"))).alias("q")
     ).withColumn("node", F.lit(1).cast("long"))
     kind = "struct<rest:bigint,left:bigint,draws:array<bigint>>"
-    for _ in range(levels):
+    for level in range(levels):
+        if level == TOP_LEVELS:
+            tree = tree.repartition("node")
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["blocks"])
 
         def draw(state: Column, x: Column) -> Column:
@@ -180,7 +192,7 @@ def block_plan(
     weights: Sequence[float] = WEIGHTS,
     share: float = TOTAL_SHARE,
     most: float = MOST,
-    levels: int = SHARD_LEVELS,
+    levels: int | None = None,
     block_words: int = BLOCK_WORDS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sizes with its block, the targets, and the chosen blocks.
@@ -213,6 +225,8 @@ def block_plan(
     firsts = chosen.groupBy("source").agg(
         F.count(F.lit(1)).alias("blocks"), F.sum((F.col("pass") == 0).cast("long")).alias("of_first")
     )
+    if levels is None:
+        levels = min(max((chosen.count() // SHARD_BLOCKS).bit_length(), LEVELS[0]), LEVELS[1])
     shards = split_quotas(firsts.select("source", "blocks"), levels)
     upto = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     slots = shards.withColumn("from", F.coalesce(F.sum("blocks").over(upto), F.lit(0))).select(
@@ -230,9 +244,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     doc_id, source, row (hash of the text), copy and copies (its number among equal rows, and how many there
     are), size, source_size, target, pass, taken (the document's first words
-    where it is cut), shard and shuffle_key.  A shard's rows sorted by shuffle_key are its
-    local shuffle.  Documents that no pass takes have one row with pass, shard and
-    shuffle_key null and taken 0.
+    where it is cut), shard and position: the place after the shard's local shuffle, from 0.  Documents that no
+    pass takes have one row with pass, shard and position null and taken 0.
     """
     rows = only(docs, "doc_id", "source", "text").select("doc_id", "source", text_hash().alias("row"), word_count(F.col("text")).alias("size"))
     rows = rows.groupBy("doc_id", "source", "row", "size").agg(F.count(F.lit(1)).alias("copies"))
@@ -250,7 +263,23 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     out = whole.select(names).union(cut.select(names))
     key = F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), F.xxhash64(F.lit(SEED), "shard", "doc_id", "pass"))
     key = F.coalesce(key, F.xxhash64(F.lit(SEED), "shard", "doc_id", "row", "copy", "pass"))
-    return out.withColumn("shuffle_key", F.when(F.col("pass").isNotNull(), key))
+    # what no shard takes is spread over windows of its own, since its places do not count
+    own = F.coalesce(F.col("shard"), -1 - F.pmod(F.xxhash64("doc_id", "row", "copy"), F.lit(4096)))
+    order = W.partitionBy(own).orderBy(key, "doc_id", "pass", "row", "copy")
+    return out.withColumn("position", F.when(F.col("pass").isNotNull(), F.row_number().over(order) - 1).cast("long"))
+
+
+def mix_report(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken and places of every row of docs.
+
+    taken is the sum over the row's places in shards: (pass, shard, position, words), by pass.
+    """
+    place = F.when(F.col("pass").isNotNull(), F.struct("pass", "shard", "position", F.col("taken").alias("words")))
+    whole = mix(docs, **how).groupBy("doc_id", "source", "row", "copy").agg(
+        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(place)).alias("places")
+    )
+    taken = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return whole.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "places")
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
@@ -262,13 +291,18 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: a row for each time one is taken, cut to its first words where the target falls."""
+    """The mix as documents: a row for each time one is taken, cut to its first words where the target falls.
+
+    Rows are laid out shard by shard in the order of each shard's shuffle.  Null texts have no
+    words and go; rows equal in doc_id, source and text are taken each by itself; other columns
+    keep their values, whatever their names; an empty table gives an empty table.
+    """
     plan = mix(docs, **how).filter("taken > 0")
-    plan = staged(plan.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "row", "copy", "copies", "size", "taken")]))
+    plan = staged(plan.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "row", "copy", "copies", "size", "taken", "shard", "position")]))
     text = F.col("_doc.text")
     rows = as_struct(docs).withColumn("_text", text_hash(text))
     same = F.col("_doc.doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_row"))
-    names = ("_doc", "_taken", "_size")
+    names = ("_doc", "_taken", "_size", "_shard", "_position")
     joined = rows.join(plan.filter("_copies = 1"), same).select(*names)
     # copies are numbered in the order of their other columns; rows equal in all are counted, not ranked
     several = plan.filter("_copies > 1")
@@ -281,5 +315,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     )
     mine = F.col("k_id").eqNullSafe(F.col("_doc_id")) & F.col("k_source").eqNullSafe(F.col("_source")) & (F.col("k_row") == F.col("_row"))
     joined = joined.union(each.join(several, mine & (F.col("k_copy") == F.col("_copy"))).select(*names))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stretches of a shard, so that no task has to hold a whole one and none is sampled for its range
+    stretch = F.floor(F.col("_position") / STRETCH)
+    joined = joined.repartition(parts, "_shard", stretch).sortWithinPartitions("_shard", "_position")
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_taken").cast("int")), " ")
     return from_struct(joined, docs.columns, F.when(F.col("_taken") < F.col("_size"), part).otherwise(text))
