@@ -8,8 +8,8 @@ Every document is scanned for the parts of credentials:
 * user: a user, account, client or key name that is set to a value, a weak candidate too;
 * endpoint: a URL, host with port, IPv4 address or a bucket or host that is set to a value.
 
-Scopes are paragraphs (text between blank lines), and of those at most ``REACH`` code
-points around a part.  Parts are intervals; an interval join within the scope links each
+Scopes are paragraphs (text between blank lines), whole for ``secret_scan``; ``find`` takes a
+``reach`` that narrows them to so many code points around a part.  Parts are intervals; an interval join within the scope links each
 weak candidate to the parts that complete it: a secret needs an access identifier or user
 and an endpoint needs both sides of a credential, that is an identifier (access or user)
 and a secret (assign, hex or secret).  The join is a sweep over parts sorted by start,
@@ -72,20 +72,21 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates of the other kinds that do not lie inside a stronger span."""
     out: list[Span] = []
     starts = [s.start for s in base]
-    widest = max((s.end - s.start for s in base), default=0)
+    ends = list(accumulate((s.end for s in base), max))  # running maxima, so that they ascend
     for kind, pattern in ((3, SECRET), (4, USER), (5, ENDPOINT)):
         for m in pattern.finditer(text):
             a, b = m.span()
             if kind == 3 and not (re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])):
                 continue
-            near = base[bisect_left(starts, a - widest) : bisect_left(starts, b)]
-            if not any(s.start < b and a < s.end for s in near):
+            # of the base spans that begin before b, one overlaps if the farthest end is behind a
+            before = bisect_left(starts, b)
+            if not before or ends[before - 1] <= a:
                 out.append(Span(a, kind, b))
     return sorted(out)
 
 
-def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) -> list[Span]:
-    """The weak spans that complementary parts within their scope complete."""
+def linked(text: str, base: list[Span], weak: list[Span], reach: int | None = REACH) -> list[Span]:
+    """The weak spans that complementary parts within their scope complete; without a reach that is the paragraph."""
     if not weak:
         return []
     borders = [m.start() for m in _BLANK.finditer(text)]
@@ -99,7 +100,7 @@ def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) ->
         spans, starts, ends = sides[side]
         at = bisect_right(borders, s.start)
         begin, end = borders[at - 1] if at else 0, borders[at] if at < len(borders) else len(text)
-        low, high = max(s.start - reach, begin), min(s.end + reach, end)
+        low, high = (begin, end) if reach is None else (max(s.start - reach, begin), min(s.end + reach, end))
         # no part spans a border, so those from the paragraph's first on are inside of it
         a, b = max(bisect_left(ends, low), bisect_left(starts, begin)), bisect_right(starts, high)
         own = bisect_left(spans, s)
@@ -109,17 +110,17 @@ def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) ->
     return [s for s in weak if all(has(side, s) for side in need[KINDS[s.kind]])]
 
 
-def find(text: str) -> tuple[list[Span], list[Span]]:
+def find(text: str, reach: int | None = REACH) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with the linked weak ones."""
     base = base_spans(text)
-    return base, sorted([*base, *linked(text, base, weak_spans(text, base))])
+    return base, sorted([*base, *linked(text, base, weak_spans(text, base), reach)])
 
 
 def _report(batch: pa.RecordBatch):
     for chunk in text_chunks(batch):
         rows = []
         for text in chunk["text"].to_pylist():
-            base, every = find(text or "")
+            base, every = find(text or "", None)
             kinds = [s.kind for s in base]
             digest = hashlib.sha256(",".join(s.text() for s in base).encode()).hexdigest()
             rows.append((*(kinds.count(i) for i in range(3)), digest, ",".join(s.text() for s in every)))
