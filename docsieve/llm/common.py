@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: Java and Python spelling of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -26,22 +26,6 @@ _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir.
-
-    Without that setting a session whose executors are threads of the driver gets a local
-    one; any other raises, since its executors would each write to a disk of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
-        base = "file://" + tempfile.mkdtemp(prefix="docsieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/docsieve-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: lineage ends, lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
@@ -95,6 +79,20 @@ def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataF
     return from_struct(single.union(one), docs.columns, F.col("_doc.text"))
 
 
+def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of every root one row of docs; rows has root, doc_id, row (hash of the text) and n, how many rows are equal in these.
+
+    The first by (doc_id, row) stays, null doc_ids last.
+    """
+    keyed = staged(rows.select("root", "n", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("key")))
+    # a table of its own, so that a large group can be split over tasks
+    first = staged(keyed.groupBy("root").agg(F.min("key").alias("first"), F.sum("n").alias("all")).filter("all > 1").drop("all"))
+    several = keyed.join(first, "root")
+    gone = several.filter("key <> first").select("key.doc_id", "key.row")
+    repeated = several.filter("key = first and n > 1").select("key.doc_id", "key.row")
+    return without_rows(docs, staged(gone), staged(repeated))
+
+
 def give_back() -> None:
     """Return freed memory to the system; workers wait for their next task with what they hold."""
     gc.collect()

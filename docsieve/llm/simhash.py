@@ -8,6 +8,10 @@ in some probed partition within t_i bits (Qin et al., "GPH", ICDE 2018).  Each
 fingerprint gets its own thresholds by dynamic programming on candidate counts that are
 estimated from a count sketch of all fingerprints.
 
+There are three partitions, or two where a table is so large that the values of three would
+be shared by too many: then a probe flips bits of one partition instead.  The count sketch
+grows with the table, up to 2**20 cells a partition.
+
 Frequent partition values would give candidates with the square of their count.  The
 sketch, known to every task, says which values those are; there the fingerprints are not
 paired, but meet at keys made of the value and the remaining bits with at most one of
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, lean, only, staged, text_chunks, text_hash, utf8, without_rows
+from .common import arrow_map, first_rows, lean, only, staged, text_chunks, utf8
 from .components import components
 
 BITS = 64
@@ -38,7 +42,8 @@ SHINGLE = 3
 SEED = 42
 PARTS = 3
 DISTANCE = 2
-CELLS = 1 << 16
+#: Cells of the count sketch a partition, at least and at most, as powers of two.
+CELL_BITS = (16, 20)
 #: A partition value with a sketched count above this meets at flipped keys, not in pairs.
 FREQUENT = 24
 _NEVER = np.float64(1e18)
@@ -70,6 +75,17 @@ def _fingerprints(shingle: int, batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
 
+def _with_hash(shingle: int, batch: pa.RecordBatch):
+    """doc_id, hash of the text as Spark's xxhash64 has it, fingerprint."""
+    for chunk in text_chunks(batch):
+        data, offsets = utf8(chunk["text"])
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        row = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64)
+        fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+        yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(row.view(np.int64)), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) for every row."""
     return arrow_map(only(docs, "doc_id", "text"), "doc_id long, fp long", partial(_fingerprints, shingle))
@@ -113,16 +129,31 @@ def _masks(groups: list[np.ndarray]) -> np.ndarray:
     return np.array([sum(1 << int(b) for b in g) for g in groups], np.uint64)
 
 
-def _cell(value: np.ndarray) -> np.ndarray:
-    return ((value ^ (value >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+def parts_for(n: int) -> int:
+    """How many partitions make probes and candidates of n fingerprints fewest.
+
+    Of three partitions each is probed once, if values are even with n / 2**21 candidates;
+    of two, one is probed once and the other at every flipped bit too, with n / 2**32.
+    """
+    probes, width = BITS // 2 + 2, BITS // PARTS
+    return PARTS if PARTS * (1 + n / 2**width) <= probes * (1 + n / 2 ** (BITS // 2)) else 2
+
+
+def cell_bits(n: int) -> int:
+    """About four fingerprints a cell, within the bounds."""
+    return min(max(CELL_BITS[0], n.bit_length() - 2), CELL_BITS[1])
+
 
+def _cell(value: np.ndarray, bits: int) -> np.ndarray:
+    return ((value ^ (value >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
-def _sketch(masks, batches):
-    counts = np.zeros((len(masks), CELLS), np.int64)
+
+def _sketch(masks, bits, batches):
+    counts = np.zeros((len(masks), 1 << bits), np.int64)
     for batch in batches:
         fp = np.ascontiguousarray(batch["fp"].to_numpy(zero_copy_only=False)).view(np.uint64)
         for i, m in enumerate(masks):
-            counts[i] += np.bincount(_cell(fp & m), minlength=CELLS)
+            counts[i] += np.bincount(_cell(fp & m, bits), minlength=1 << bits)
     cells = np.flatnonzero(counts.ravel())
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts.ravel()[cells])], ["k", "v"])
 
@@ -157,13 +188,13 @@ def _probes(masks, groups, counts, frequent, batch):
     """Rows (kind, part, key, rest, fp): 0 index, 1 probe, 2 meeting key of a frequent value."""
     for at in range(0, batch.num_rows, 8_192):
         fp = np.ascontiguousarray(batch["fp"].slice(at, 8_192).to_numpy(zero_copy_only=False)).view(np.uint64)
-        n, parts = len(fp), len(masks)
+        n, parts, bits = len(fp), len(masks), counts.shape[1].bit_length() - 1
         cost, near = np.zeros((n, parts, 3)), []
         for i, m in enumerate(masks):
             value = fp & m
             flips = value[:, None] ^ (np.uint64(1) << groups[i].astype(np.uint64))[None, :]
             near.append((value, flips))
-            own, other = counts[i][_cell(value)], counts[i][_cell(flips)]
+            own, other = counts[i][_cell(value, bits)], counts[i][_cell(flips, bits)]
             price = lambda c: np.where(c > frequent, BITS, 1 + c)
             cost[:, i, 1] = price(own)
             cost[:, i, 2] = price(own) + price(other).sum(axis=1)
@@ -172,7 +203,7 @@ def _probes(masks, groups, counts, frequent, batch):
         for i, m in enumerate(masks):
             value, flips = near[i]
             rest = fp & ~m
-            hot = counts[i][_cell(value)] > frequent
+            hot = counts[i][_cell(value, bits)] > frequent
             rows.append((0, i, value[~hot], np.zeros((~hot).sum(), np.uint64), fp[~hot]))
             if hot.any():
                 others = np.array([b for b in range(BITS) if not int(m) >> b & 1], np.uint64)
@@ -184,7 +215,7 @@ def _probes(masks, groups, counts, frequent, batch):
             if (wide := limits[:, i] >= 1).any():
                 w = flips.shape[1]
                 keys, own, far = flips[wide].ravel(), np.repeat(fp[wide], w), np.repeat(rest[wide], w)
-                hot = counts[i][_cell(keys)] > frequent
+                hot = counts[i][_cell(keys, bits)] > frequent
                 rows.append((1, i, keys[~hot], np.zeros((~hot).sum(), np.uint64), own[~hot]))
                 rows.append((2, i, keys[hot], far[hot], own[hot]))
         yield pa.RecordBatch.from_arrays(
@@ -197,22 +228,24 @@ def _probes(masks, groups, counts, frequent, batch):
         )
 
 
-def links(distinct: DataFrame, parts: int = PARTS, frequent: int = FREQUENT) -> DataFrame:
+def links(distinct: DataFrame, parts: int | None = None, frequent: int = FREQUENT) -> DataFrame:
     """(a, b) whose transitive closure is that of all pairs of fp at most two bits apart.
 
-    The driver gets the 64 x 64 bit counts and parts x 65536 sketch cells, never fingerprints.
+    The driver gets the 64 x 64 bit counts and the cells of the sketch, never fingerprints.
     """
     total = np.zeros(BITS * BITS + 1, np.int64)
     for r in distinct.mapInArrow(lean(_together), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[r.k] = r.v
-    groups = bit_groups(total[:-1].reshape(BITS, BITS), int(total[-1]), parts)
+    n = int(total[-1])
+    parts, bits = parts or parts_for(n), cell_bits(n)
+    groups = bit_groups(total[:-1].reshape(BITS, BITS), n, parts)
     masks = _masks(groups)
-    counts = np.zeros(parts * CELLS, np.int64)
-    for r in distinct.mapInArrow(lean(partial(_sketch, masks)), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    counts = np.zeros(parts << bits, np.int64)
+    for r in distinct.mapInArrow(lean(partial(_sketch, masks, bits)), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
         counts[r.k] = r.v
-    counts = counts.reshape(parts, CELLS)
+    counts = counts.reshape(parts, 1 << bits)
     # In a table so large that every cell is full, a value counts as frequent relative to the mean.
-    frequent = int(frequent + 2 * total[-1] // CELLS)
+    frequent = frequent + 2 * n // (1 << bits)
     rows = staged(
         arrow_map(distinct, "kind int, part int, key long, rest long, fp long", partial(_probes, masks, groups, counts, frequent))
     )
@@ -225,14 +258,17 @@ def links(distinct: DataFrame, parts: int = PARTS, frequent: int = FREQUENT) ->
     return close.select("a", "b").union(star.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int = PARTS, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for every row of docs."""
-    marked = staged(fingerprints(docs, shingle))
+def _grouped(marked: DataFrame, parts: int | None, frequent: int) -> DataFrame:
+    """fp, the least doc_id that has it, and root (the least fp of its component)."""
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(distinct.select("fp"), parts, frequent))
-    grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id for every row of docs."""
+    marked = staged(fingerprints(docs, shingle))
+    grouped = _grouped(marked, parts, frequent)
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = grouped.join(lowest, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select(
@@ -240,10 +276,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, parts: int = PARTS,
     )
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without those whose component holds a smaller doc_id; of rows equal in doc_id and text one stays."""
-    gone = near_duplicates(docs, **how).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    rows = only(left, "doc_id", "text").select("doc_id", text_hash().alias("row"))
-    repeated = staged(rows.groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row"))
-    return without_rows(left, repeated.limit(0), repeated)
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, parts: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """Of every component of docs one row: that with the least (doc_id, hash of the text), null doc_ids last.
+
+    Rows go by doc_id and text, so a row that shares its doc_id with a near copy stays; of rows
+    equal in both one stays; other columns keep their values; an empty table gives an empty table.
+    """
+    marked = staged(arrow_map(only(docs, "doc_id", "text"), "doc_id long, row long, fp long", partial(_with_hash, shingle)))
+    rows = marked.join(_grouped(marked, parts, frequent).select("fp", "root"), "fp").groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    return first_rows(docs, rows)
