@@ -1,18 +1,20 @@
 """Approximate nearest neighbours with a hierarchical k-means tree (operator 5).
 
 * Fit: k-means splits a bounded sample (``SAMPLE`` rows in hash order) again and again, the
-  most populous leaf first, up to ``LEAVES`` leaves.  The tree is at most LEAVES * 9 / 8
-  centres, so every task can hold it.
-* Index: every row descends to its leaf.  Leaves, in tree order, fill blocks of about
-  ``BLOCK`` rows; a leaf with more rows is split over several blocks by hash.
+  most populous leaf first.  There are about as many leaves as the root of the number of rows,
+  up to ``LEAVES``; the tree is at most LEAVES * 9 / 8 centres, so every task can hold it.
+* Index: every row descends to its leaf.  Leaves, in tree order, fill blocks of up to ``BLOCK``
+  rows, smaller ones where a table would not fill all tasks; a leaf with more rows is split over
+  several blocks by hash.
 * Search: a query walks the tree best bin first, with a priority queue of nodes by their
   centre's inner product, and the first ``visits`` leaves out of the queue are its leaves.
 * Calibration: a bounded set of queries is compared with all rows, in blocks.  The visits
   are widened until ``RECALL`` of their true neighbours lie in the visited leaves.
 
-Each block scores its rows for the queries that visit one of its leaves and keeps the best
-k of each; the best of those are the answer.  Scores are inner products in double
-precision of the original vectors, summed in one order, so equal vectors tie exactly.
+A block's rows are sorted by leaf.  Each leaf is multiplied with the queries that visit it and
+with no other; a block keeps the best k of each query, and the best of those are the answer.
+Scores are inner products in double precision of the original vectors, summed in one order,
+so equal vectors tie exactly.
 
 Defined results: null, zero and non-finite vectors, vectors holding null, and vectors of
 another dimension than the most common take no part, as queries or candidates; rows with
@@ -34,10 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, only, staged
+from .common import arrow_map, mix64, only, staged
 
-SAMPLE = 20_000
-LEAVES = 512
+#: Rows of the sample a leaf, and rows of the sample at least and at most.
+SAMPLE_EACH, SAMPLE = 40, (20_000, 131_072)
+#: Leaves at least and at most.
+LEAVES = (64, 8_192)
 BRANCHING = 8
 BLOCK = 8_192
 CALIBRATION = 64
@@ -138,15 +142,15 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, own: int, k: int):
-    """Best k rows for one query, by exact score and then id; every near tie is scored exactly."""
-    rough = x @ q
-    ok = ids != own
-    if allowed is not None:
-        ok &= allowed
-    if not ok.any():
+def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int, rough: np.ndarray | None = None):
+    """Best k rows for one query, by exact score and then id; every near tie is scored exactly.
+
+    rough has the inner products as a matrix product gave them.
+    """
+    rough = x @ q if rough is None else rough
+    at = np.flatnonzero(ids != own)
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros(0)
-    at = np.flatnonzero(ok)
     if len(at) > k:
         edge = np.partition(rough[at], len(at) - k)[len(at) - k]
         at = at[rough[at] >= edge - 1e-9 * (1 + abs(edge)) * (1 + np.abs(q).sum())]
@@ -169,41 +173,104 @@ def _truth(ids: np.ndarray, q: np.ndarray, k: int, batch: pa.RecordBatch):
     """The best k of a batch for every calibration query, with their leaves."""
     x, own, leaf = _matrix(batch["v"]), batch["vec_id"].to_numpy(zero_copy_only=False), batch["leaf"].to_numpy(zero_copy_only=False)
     of = dict(zip(own.tolist(), leaf.tolist(), strict=True))
-    rows = [(int(i), int(v), float(s), of[int(v)]) for i, one in zip(ids, q, strict=True) for v, s in zip(*top(one, x, own, None, i, k), strict=True)]
+    rows = [(int(i), int(v), float(s), of[int(v)]) for i, one in zip(ids, q, strict=True) for v, s in zip(*top(one, x, own, i, k), strict=True)]
     c = list(zip(*rows, strict=True)) or [[], [], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(c, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], ["query_id", "vec_id", "score", "leaf"])
 
 
-def _visit(tree: Tree, visits: int, blocks: list[list[int]], batch: pa.RecordBatch):
+class Blocks(NamedTuple):
+    """The blocks of each leaf: ``first`` and how many, 0 where a leaf has no row."""
+
+    first: np.ndarray
+    count: np.ndarray
+
+
+def deal(rows: np.ndarray, block: int) -> Blocks:
+    """Leaves with so many rows each fill blocks in order; one with more than a block has several to itself."""
+    first, count = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    used, room = 0, block
+    for leaf, n in enumerate(rows.tolist()):
+        if n > block:
+            count[leaf] = -(-n // block)
+            first[leaf], used, room = used + 1, used + 1 + int(count[leaf]), block
+        elif n:
+            if n > room:
+                used, room = used + 1, block
+            first[leaf], count[leaf], room = used, 1, room - n
+    return Blocks(first, count)
+
+
+def _place(blocks: Blocks, batch: pa.RecordBatch):
+    """Each row's block; rows of a leaf with several are dealt by a hash of the id."""
+    leaf = batch["leaf"].to_numpy(zero_copy_only=False)
+    hashed = mix64(np.ascontiguousarray(batch["vec_id"].to_numpy(zero_copy_only=False)).view(np.uint64))
+    block = blocks.first[leaf] + (hashed % np.maximum(blocks.count[leaf], 1).astype(np.uint64)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(block), batch["vec_id"], batch["v"], batch["leaf"]], ["block", "vec_id", "v", "leaf"])
+
+
+def _visit(tree: Tree, visits: int, blocks: Blocks, batch: pa.RecordBatch):
     """A row for every query and block that holds a leaf of it."""
-    bins = best_bins(tree, _matrix(batch["v"]), visits)
-    for at in range(0, len(bins), 512):
-        rows = [{} for _ in bins[at : at + 512]]
-        for want, leaves in zip(rows, bins[at : at + 512].tolist(), strict=True):
+    for at in range(0, batch.num_rows, 512):
+        part = batch.slice(at, 512)
+        rows: list[dict[int, list[int]]] = [{} for _ in range(part.num_rows)]
+        for want, leaves in zip(rows, best_bins(tree, _matrix(part["v"]), visits).tolist(), strict=True):
             for leaf in leaves:
                 if leaf >= 0:
-                    for b in blocks[leaf]:
+                    for b in range(blocks.first[leaf], blocks.first[leaf] + blocks.count[leaf]):
                         want.setdefault(b, []).append(leaf)
-        pick = pa.array([at + i for i, want in enumerate(rows) for _ in want])
+        pick = pa.array([i for i, want in enumerate(rows) for _ in want], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([b for want in rows for b in want], pa.int32()),
-                batch["vec_id"].take(pick),
-                batch["v"].take(pick),
+                pa.array([b for want in rows for b in want], pa.int64()),
+                part["vec_id"].take(pick),
+                part["v"].take(pick),
                 pa.array([x for want in rows for x in want.values()], pa.list_(pa.int32())),
             ],
             ["block", "query_id", "q", "leaves"],
         )
 
 
+def search_block(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, own: np.ndarray, q: np.ndarray, leaves: list, k: int, held: int = 1 << 21):
+    """(query, found ids, scores) for the queries of one block: each of its leaves meets the queries that visit it."""
+    order = np.argsort(leaf, kind="stable")
+    x, ids, leaf = x[order], ids[order], leaf[order]
+    numbers, starts = np.unique(leaf, return_index=True)
+    ends = dict(zip(numbers.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True), strict=True))
+    visitors: dict[int, list[int]] = {}
+    for i, wanted in enumerate(leaves):
+        for one in wanted:
+            if one in ends:
+                visitors.setdefault(int(one), []).append(i)
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for one, who in visitors.items():
+        a, b = ends[one]
+        step = max(1, held // (b - a))
+        for at in range(0, len(who), step):
+            some = who[at : at + step]
+            rough = q[some] @ x[a:b].T
+            for i, r in zip(some, rough, strict=True):
+                found, score = top(q[i], x[a:b], ids[a:b], own[i], k, r)
+                if i in best:
+                    found, score = np.concatenate([best[i][0], found]), np.concatenate([best[i][1], score])
+                    order = np.lexsort((found, -score))
+                    found, score = found[order], score[order]
+                    keep = np.sort(np.unique(found, return_index=True)[1])[:k]  # an id that two leaves have counts once
+                    found, score = found[keep], score[keep]
+                best[i] = found, score
+    for i, (found, score) in best.items():
+        yield own[i], found, score
+
+
 def _search(k: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(left) and len(right):
-        x, ids, leaf = np.stack(left["v"]).astype(np.float64), left["vec_id"].to_numpy(), left["leaf"].to_numpy()
-        for own, q, leaves in zip(right["query_id"], right["q"], right["leaves"], strict=True):
-            found, score = top(np.asarray(q, np.float64), x, ids, np.isin(leaf, leaves), own, k)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": score}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    if not (len(left) and len(right)):
+        return none
+    x, q = np.stack(left["v"]).astype(np.float64), np.stack(right["q"]).astype(np.float64)
+    rows = list(search_block(x, left["vec_id"].to_numpy(), left["leaf"].to_numpy(), right["query_id"].to_numpy(), q, list(right["leaves"]), k))
+    if not rows:
+        return none
+    own, found, score = zip(*rows, strict=True)
+    return pd.DataFrame({"query_id": np.repeat(own, [len(f) for f in found]), "vec_id": np.concatenate(found), "score": np.concatenate(score)})
 
 
 def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -221,14 +288,26 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, leaves: int = LEAVES, block: int = BLOCK) -> DataFrame:
+def sizes_for(n: int, tasks: int) -> tuple[int, int]:
+    """Leaves (about the root of n) and rows a block (so many that n rows are a few blocks a task)."""
+    leaves = min(max(1 << round(np.log2(max(n, 1)) / 2), LEAVES[0]), LEAVES[1])
+    return leaves, int(min(max(n // (3 * tasks), 512), BLOCK))
+
+
+def nearest(
+    table: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, leaves: int | None = None, block: int | None = None, visits: int | None = None
+) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of table (vec_id, embedding) where is_query holds.
 
-    The driver holds the sample, the tree, the calibration's neighbours and a count a leaf.
+    ``visits`` fixes how many leaves a query visits, without calibration.  The driver holds the
+    sample, the tree, the calibration's neighbours and a count a leaf.
     """
     spark, out = table.sparkSession, "query_id long, rank int, vec_id long, score double"
     rows = staged(valid_vectors(table))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    fitting = sizes_for(rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    leaves, block = leaves or fitting[0], block or fitting[1]
+    size = min(max(SAMPLE_EACH * leaves, SAMPLE[0]), SAMPLE[1])
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
     if not len(sample):
         return spark.createDataFrame([], out)
     tree = fit(_matrix(sample["v"].combine_chunks()), leaves)
@@ -238,28 +317,22 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, recall: float = RECA
     few = queries.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(CALIBRATION).toArrow()
     if not len(few):
         return spark.createDataFrame([], out)
-    ids, q = few["vec_id"].to_numpy(), _matrix(few["v"].combine_chunks())
+    if visits is None:
+        visits = calibrated(tree, indexed, few["vec_id"].to_numpy(), _matrix(few["v"].combine_chunks()), k, recall)
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():
+        counts[r["leaf"]] = r["count"]
+    blocks = deal(counts, block)
+    left = arrow_map(indexed, f"block long, vec_id long, v {kind}, leaf int", partial(_place, blocks))
+    right = arrow_map(queries, f"block long, query_id long, q {kind}, leaves array<int>", partial(_visit, tree, visits, blocks))
+    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(partial(_search, k), "query_id long, vec_id long, score double")
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def calibrated(tree: Tree, indexed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, recall: float) -> int:
+    """How many leaves hold that share of the true neighbours of a few queries."""
     truth = _best(arrow_map(indexed, "query_id long, vec_id long, score double, leaf int", partial(_truth, ids, q, k)).drop("leaf"), k)
     truth = truth.join(indexed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toPandas()
     order = dict(zip(ids.tolist(), best_bins(tree, q, tree.leaves), strict=True))
     place = np.sort([int(np.flatnonzero(order[i] == leaf)[0]) for i, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
-    visits = int(place[int(np.ceil(recall * len(place))) - 1]) + 1 if len(place) else 1
-
-    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
-    blocks: list[list[int]] = [[] for _ in range(tree.leaves)]
-    used, room = 0, block
-    for leaf in range(tree.leaves):
-        n = counts.get(leaf, 0)
-        if n > block:
-            blocks[leaf] = list(range(used + 1, used + 1 - (-n // block)))
-            used, room = used + len(blocks[leaf]) + 1, block
-        elif n:
-            if n > room:
-                used, room = used + 1, block
-            blocks[leaf], room = [used], room - n
-    table_of = F.array(*[F.array(*[F.lit(b) for b in x]) if x else F.expr("cast(array() as array<int>)") for x in blocks])
-    mine = F.element_at(table_of, F.col("leaf") + 1)
-    left = indexed.withColumn("block", F.element_at(mine, (F.pmod(F.xxhash64("vec_id"), F.size(mine)) + 1).cast("int")))
-    right = arrow_map(queries, f"block int, query_id long, q {kind}, leaves array<int>", partial(_visit, tree, visits, blocks))
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(partial(_search, k), "query_id long, vec_id long, score double")
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return int(place[int(np.ceil(recall * len(place))) - 1]) + 1 if len(place) else 1
