@@ -10,7 +10,7 @@ word sequence also begins in a document with a smaller doc_id.
    documents have are the recurring phrases; the smallest doc_id is the owner.
 3. Automata: stretches are dealt out by anchor to so many shards that a shard is small, in
    packed and compressed cells.  A shard has every occurrence of its phrases: it confirms
-   them, compiles them, one symbol a word, into an Aho-Corasick automaton, and streams its
+   them, compiles them, as sequences of word numbers, into an Aho-Corasick automaton, and streams its
    stretches through it.  Every occurrence in a document other than the owner is a hit.
    Anchors in very many texts are salted over tasks: their phrases are confirmed with a
    grouped minimum and maximum, and each salt compiles the anchor's automaton for its own
@@ -185,24 +185,24 @@ def _phrases(window: int, batch: pa.RecordBatch):
         )
 
 
-def compile_automaton(owners: dict[str, int]) -> tuple[ahocorasick.Automaton, dict[str, str]]:
-    """One symbol a word; the automaton's values are the owners of the phrases."""
-    symbol: dict[str, str] = {}
-    automaton = ahocorasick.Automaton()
+def compile_automaton(owners: dict[str, int]) -> tuple[ahocorasick.Automaton, dict[str, int]]:
+    """Keys are sequences of word numbers, from 1; the automaton's values are the owners of the phrases."""
+    number: dict[str, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for phrase, owner in owners.items():
-        automaton.add_word("".join([symbol.setdefault(w, chr(0x10000 + len(symbol))) for w in phrase.split(" ")]), owner)
+        automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in phrase.split(" ")]), owner)
     automaton.make_automaton()
-    return automaton, symbol
+    return automaton, number
 
 
 def locate(window: int, owners: dict[str, int], rows) -> pd.DataFrame:
     """Word ranges of the occurrences outside of their owners, merged inside a stretch."""
     out: list[tuple[int, int, int, int]] = []
     if owners:
-        automaton, symbol = compile_automaton(owners)
+        automaton, number = compile_automaton(owners)
         for doc, row, begin, words in rows:
             start = end = -1
-            for last, owner in automaton.iter("".join([symbol.get(w, "\0") for w in words.split(" ")])):
+            for last, owner in automaton.iter(tuple([number.get(w, 0) for w in words.split(" ")])):
                 if owner < doc:
                     a = begin + last + 1 - window
                     if a > end:
