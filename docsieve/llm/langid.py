@@ -15,16 +15,18 @@ always all.  So a language is learned at any size of the table.  Everything is c
 ``CELLS`` hashed cells a language.  doc_id, source and language are never inputs of a
 prediction.
 
-Defined results: null, empty and letterless texts are ``und`` with score 0, and so is
-every text when nothing could be learned; a text whose every word is in a script that no
-learned language uses is ``und`` too; equal texts and repeated rows get equal results; ties
+Defined results: null, empty and letterless texts (emoji are no letters) are ``und`` with
+score 0, and so is every text when nothing could be learned; a text whose every word is in a
+script that no learned language uses gets the first language with score 0; equal texts and repeated rows get equal results; ties
 go to the language that is first by code point; an empty table gives an empty table; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from collections import Counter
 from functools import partial
 from typing import NamedTuple
 
@@ -43,15 +45,31 @@ CELLS = 1 << 16
 SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
-#: First code points of scripts (Unicode blocks), in order; the rest is one class.
-SCRIPTS = (
-    (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
-    (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0E00, "Thai"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1E00, "Latin"),
-    (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"),
-)
-NAMES = tuple(dict.fromkeys(n for _, n in SCRIPTS))
-_FROM = np.array([x for x, _ in SCRIPTS])
-_KIND = np.array([NAMES.index(n) for _, n in SCRIPTS])
+#: Scripts with fewer letters than this, such as single signs, are one class.
+LEAST_LETTERS = 20
+OTHER = "OTHER"
+
+
+def _script(code: int) -> str:
+    """The script of a letter is the first word of its Unicode name."""
+    return unicodedata.name(chr(code), OTHER).split(" ")[0].split("-")[0]
+
+
+def _ranges() -> tuple[tuple[str, ...], np.ndarray, np.ndarray]:
+    """Script names, and the ranges of code points below 0x20000 by first code point and script."""
+    of = {i: _script(i) for i in range(0x20000) if chr(i).isalpha()}
+    many = Counter(of.values())
+    names = (OTHER, *sorted(n for n, count in many.items() if count >= LEAST_LETTERS and n != OTHER))
+    number = {n: i for i, n in enumerate(names)}
+    first, kind = [0], [0]
+    for code, name in of.items():  # what is between two letters of one script belongs to it
+        if (k := number.get(name, 0)) != kind[-1]:
+            first.append(code)
+            kind.append(k)
+    return names, np.array(first), np.array(kind)
+
+
+NAMES, _FROM, _KIND = _ranges()
 
 
 class Model(NamedTuple):
@@ -60,12 +78,7 @@ class Model(NamedTuple):
     scripts: np.ndarray  # scripts x languages: whether the language uses the script
 
 
-def _letters() -> np.ndarray:
-    """For code points below 0x10000, whether it is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
-
-
-_LETTER = _letters()
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
 _LOWER = np.fromiter((ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x10000)), np.uint32, 0x10000)
 
 
@@ -85,8 +98,11 @@ def words_of(column: pa.Array) -> Words:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     low = np.minimum(code, 0xFFFF)
-    letter = _LETTER[low] | (code > 0xFFFF)
-    code = np.where(code > 0xFFFF, code, _LOWER[low])
+    letter, high = _LETTER[low], code > 0xFFFF
+    if high.any():  # emoji and other signs up there are no letters
+        kinds, which = np.unique(code[high], return_inverse=True)
+        letter[high] = np.fromiter((chr(k).isalpha() for k in kinds), bool, len(kinds))[which]
+    code = np.where(high, code, _LOWER[low])
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     # every word with a border at either end: trigrams are centred on its letters
@@ -160,16 +176,17 @@ def viterbi(emit: np.ndarray, penalty: float = SWITCH) -> tuple[np.ndarray, np.n
     Returns the language of each word and, a text, the final lead over the second best.
     """
     texts, steps, k = emit.shape
-    came = np.zeros((steps, texts, k), np.int8)
+    kind = np.min_scalar_type(max(k - 1, 1))  # wide enough for any number of languages
+    came = np.zeros((steps, texts, k), kind)
     s = emit[:, 0].copy()
-    own = np.arange(k, dtype=np.int8)
+    own = np.arange(k, dtype=kind)
     for t in range(1, steps):
         best = s.argmax(axis=1)
         switched = s[np.arange(texts), best][:, None] - penalty
         stay = s >= switched
         came[t] = np.where(stay, own, best[:, None])
         s = np.where(stay, s, switched) + emit[:, t]
-    path = np.zeros((texts, steps), np.int8)
+    path = np.zeros((texts, steps), np.int64)
     path[:, -1] = s.argmax(axis=1)
     for t in range(steps - 1, 0, -1):
         path[:, t - 1] = came[t][np.arange(texts), path[:, t]]
@@ -197,7 +214,7 @@ def label_words(model: Model, w: Words, group: int = 64) -> tuple[np.ndarray, np
     """
     score = word_scores(model, w)
     n = np.diff(w.first)
-    lang, lead = np.zeros(len(w.sizes), np.int8), np.zeros(len(n))
+    lang, lead = np.zeros(len(w.sizes), np.int64), np.zeros(len(n))
     order = np.argsort(n, kind="stable")
     order = order[n[order] > 0]
     at = 0
@@ -226,7 +243,12 @@ def spans(model: Model, text: str) -> list[tuple[str, int, int]]:
     return [(model.languages[lang[a]], a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def identify(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
+def identify(model: Model, column: pa.Array, closed: bool = False) -> tuple[list[str], list[float]]:
+    """The language and the score of each text.
+
+    A text whose every word is in a script that no learned language uses is ``und`` or, if
+    languages are ``closed``, in the first language, with score 0.
+    """
     w = words_of(column)
     texts, k = len(column), len(model.languages)
     if not k:
@@ -239,13 +261,14 @@ def identify(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
     best = mass.argmax(axis=1)
     share = mass[np.arange(texts), best] / np.maximum(letters, 1)
     score = share / (1 + np.exp(-np.minimum(lead, 30)))
-    none = mass.sum(axis=1) == 0
-    return [UNKNOWN if u else model.languages[b] for b, u in zip(best, none, strict=True)], np.where(none, 0.0, score).tolist()
+    foreign = mass.sum(axis=1) == 0
+    none = letters == 0 if closed else foreign
+    return [UNKNOWN if u else model.languages[b] for b, u in zip(best, none, strict=True)], np.where(foreign, 0.0, score).tolist()
 
 
 def _predicted(model, batch):
     for chunk in text_chunks(batch, limit=1 << 19):
-        lang, score = identify(model, chunk["text"])
+        lang, score = identify(model, chunk["text"], closed=True)
         held = [None if i is None else zlib.crc32(str(i).encode()) % 4 == 2 for i in chunk["doc_id"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [chunk["doc_id"], pa.array(held, pa.bool_()), pa.array(lang), pa.array(score, pa.float64())],
@@ -262,10 +285,15 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def _keep(model, column, batch):
     for chunk in text_chunks(batch, limit=1 << 19):
-        lang, _ = identify(model, chunk[column])
+        lang, _ = identify(model, chunk[column], closed=True)
         yield chunk.filter(pa.array([x != UNKNOWN for x in lang]))
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is in a language at all."""
+    """The rows of docs whose text is in a language, that is those that ``languages`` does not call ``und``.
+
+    Null, empty and letterless texts go, and so does every row when nothing could be learned;
+    repeated rows and rows that share a doc_id are judged each by itself; columns are kept as
+    they are, whatever their names; an empty table gives an empty table.
+    """
     return arrow_map(docs, docs.schema, partial(_keep, train(docs), "text"))
