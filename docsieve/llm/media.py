@@ -30,6 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -136,6 +137,15 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
     return staged(only(docs, "doc_id", "text").mapInArrow(lean(partial(_write, folder)), "path string, bytes long, members long"))
 
 
+def listed(manifest: str) -> list[tuple[str, int]]:
+    """path and bytes of the archives that the Parquet files in a manifest's folder name."""
+    if not manifest:
+        return []
+    system, name = _file(manifest)
+    rows = ds.dataset(name, filesystem=system, format="parquet").to_table(columns=["path", "bytes"])
+    return sorted(zip(rows["path"].to_pylist(), rows["bytes"].to_pylist(), strict=True))
+
+
 class ByteRange(InputPartition):
     """Members of one archive that begin at start <= offset < end."""
 
@@ -145,17 +155,12 @@ class ByteRange(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.paths = options["paths"].split(",") if options.get("paths") else []
-        self.sizes = [int(x) for x in options["sizes"].split(",")] if options.get("sizes") else []
+        self.manifest = options.get("manifest", "")
         self.bytes = int(options.get("partitionbytes", 16 << 20))
         self.retries = int(options.get("retries", 3))
 
     def partitions(self):
-        return [
-            ByteRange(path, at, min(at + self.bytes, size))
-            for path, size in zip(self.paths, self.sizes, strict=True)
-            for at in range(0, size, self.bytes)
-        ]
+        return [ByteRange(path, at, min(at + self.bytes, size)) for path, size in listed(self.manifest) for at in range(0, size, self.bytes)]
 
     def read(self, partition):
         if partition is None:  # no archive at all
@@ -227,16 +232,11 @@ class ArchiveSource(DataSource):
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, partition_bytes: int = 16 << 20) -> DataFrame:
-    """key and media of all archives of a manifest; the driver holds a path and size an archive."""
+    """key and media of all archives of a staged manifest; the plan has its folder, and planning reads a path and size an archive."""
     spark.dataSource.register(ArchiveSource)
-    rows = manifest.select("path", "bytes").orderBy("path").collect()
-    return (
-        spark.read.format("media_archive")
-        .option("paths", ",".join(r["path"] for r in rows))
-        .option("sizes", ",".join(str(r["bytes"]) for r in rows))
-        .option("partitionBytes", partition_bytes)
-        .load()
-    )
+    files = manifest.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    return spark.read.format("media_archive").option("manifest", folder).option("partitionBytes", partition_bytes).load()
 
 
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
