@@ -1,7 +1,8 @@
 """Calibration of confidences: reliability bins, ECE, temperature, risk and coverage.
 
-Input is a table with ``confidence`` (0 to 1) and ``correct`` (boolean).  Everything is an
-aggregation or a window over aggregated values.  Confidences outside 0..1 are an error.
+Input is a table with ``confidence`` (0 to 1) and ``correct`` (boolean).  Confidences outside
+0..1 are an error.  Global orders (``ordered``) are ranges of the key in tasks of their own;
+what runs in one task has a row a range.
 """
 
 from __future__ import annotations
@@ -10,9 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 CLAMP = 1e-6
 
 
+def ordered(df: DataFrame, *by: Column | str) -> tuple[DataFrame, DataFrame]:
+    """df written in the order of ``by`` with _range and _row (its place there), and the ranges with their sizes.
+
+    Ranges are sampled, so a key of its own in many rows makes one range large and no other.
+    """
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = rows.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    path = shared_dir(df.sparkSession)
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return rows, rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+
+
+def _earlier(of: str) -> Column:
+    """The sum of a column over the ranges before; there is one row a range."""
+    return F.coalesce(F.sum(of).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
 def _checked(df: DataFrame) -> DataFrame:
     c = F.col("confidence").cast("double")
     bad = c.isNull() | F.isnan(c) | ~c.between(0, 1)
@@ -77,12 +98,16 @@ def fit_temperature(df: DataFrame, lo: float = 0.05, hi: float = 50.0, steps: in
 def risk_coverage(df: DataFrame) -> DataFrame:
     """threshold, coverage, risk for every distinct confidence, highest first.
 
-    Counts by confidence come first; the running sums are over distinct values.
+    Counts by confidence come first; running sums are inside ranges of distinct values, and
+    over the ranges.
     """
     counts = _checked(df).groupBy(F.col("confidence").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("y"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    n, y = F.sum("n").over(down), F.sum("y").over(down)
-    return counts.select("threshold", (n / F.sum("n").over(W.partitionBy())).alias("coverage"), (1 - y / n).alias("risk"))
+    rows, _ = ordered(counts, F.desc("threshold"))
+    sums = rows.groupBy("_range").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    before = sums.select("_range", _earlier("n").alias("n_before"), _earlier("y").alias("y_before"), F.sum("n").over(W.partitionBy()).alias("all"))
+    down = W.partitionBy("_range").orderBy("_row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    n, y = F.sum("n").over(down) + F.col("n_before"), F.sum("y").over(down) + F.col("y_before")
+    return rows.join(before, "_range").select("threshold", (n / F.col("all")).alias("coverage"), (1 - y / n).alias("risk"))
 
 
 def coverage_at_risk(points: DataFrame, max_risk: float) -> DataFrame:
@@ -94,8 +119,10 @@ def coverage_at_risk(points: DataFrame, max_risk: float) -> DataFrame:
 
 def split_even_odd(df: DataFrame, key: str) -> DataFrame:
     """df with ``part``: fit for even places in key order, holdout for odd ones."""
-    place = F.row_number().over(W.orderBy(key)) - 1
-    return df.withColumn("part", F.when(place % 2 == 0, "fit").otherwise("holdout"))
+    rows, sizes = ordered(df, key)
+    before = sizes.select("_range", _earlier("_size").alias("_before"))
+    place = F.col("_row") + F.col("_before")
+    return rows.join(before, "_range").withColumn("part", F.when(place % 2 == 0, "fit").otherwise("holdout")).drop("_range", "_row", "_before")
 
 
 def sequence_confidence(logprobs: Column, tokens: Column, stops: list[int]) -> Column:

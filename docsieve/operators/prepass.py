@@ -266,9 +266,19 @@ def resolved_rows(done: DataFrame, key: str = "record_id") -> DataFrame:
     return done.select(key, F.inline_outer("resolved")).filter("path is not null")
 
 
-def residual_prompt(fields: Column, text: Column) -> Column:
-    """A request for the listed fields of a document."""
+def _request(fields: Column, text: Column) -> Column:
     return F.concat(
         F.lit("Return one JSON object with these fields of the document, and null where it does not say: "),
         F.array_join(F.array_sort(fields), ", "), F.lit("\n\nDocument:\n"), text, F.lit("\n\nJSON:"),
     )
+
+
+def residual_prompt(fields: Column, text: Column) -> Column:
+    """A request for the listed fields of a document."""
+    return _request(fields, text)
+
+
+def semantic_prompt(schema: Column, text: Column) -> Column:
+    """A request for the fields of a document that its schema leaves to the model; null for an unknown schema."""
+    owned = F.create_map(*[x for s in schemas() for x in (F.lit(s.name), F.array(*[F.lit(p) for p in s.paths("model")]))])
+    return _request(F.try_element_at(owned, schema), text)

@@ -48,6 +48,10 @@ ORACLE |= {
     "state_log": "SELECT r_regionkey::VARCHAR AS step, CASE WHEN r_regionkey % 2 = 1 THEN r_name END AS name FROM region",
     "corpus_command": "SELECT s AS schema, t AS tags, (SELECT count(*) FROM nation) AS n FROM (VALUES ('email'), ('form')) a(s), (VALUES ('severity=0.0'), ('synonym,severity=1.0')) b(t)",
     "file_digests": "SELECT sha256(string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10)) AS sha256 FROM nation",
+    "generation_summary": f"WITH {_RECORDS} SELECT round(sum(k % 17) / sum((k % 9 + 1) / 10), 6) AS tokens_per_second, round(avg((m <> 5)::INT), 6) AS valid_json FROM r",
+    "semantic_prompt": f"""WITH {_RECORDS} SELECT k AS record_id, 'Return one JSON object with these fields of the document, and null where it does not say: '
+        || CASE schema WHEN 'invoice' THEN 'line_items[].description, vendor_name' ELSE 'intent, issue_category, product, resolution_status, sentiment, urgency' END
+        || chr(10) || chr(10) || 'Document:' || chr(10) || {_SOURCE} || chr(10) || chr(10) || 'JSON:' AS prompt FROM r""",
     "registry_lookup": _values(
         [("contract", True, 8), ("conversation", True, 7), ("crm_record", True, 9), ("email", True, 8), ("form", True, 8), ("insurance_claim", True, 9), ("invoice", True, 12),
          ("kg_triple", True, 8), ("medical_note", True, 8), ("receipt", True, 12), ("resume", True, 8), ("support_ticket", True, 9), ("poem", False, 0)], "name, known, fields"),

@@ -13,12 +13,14 @@ from ..operators import failures as FA
 from ..operators import gate as G
 from ..operators import jsonops as J
 from ..operators import metrics as M
+from ..operators import prepass as P
 from ..sources import corrupt as CO
 from ..sources import jsonl
 from ..sources.generate import main as generate
 from ..sources.generate import split_names
 from ..sources.scratch import shared_dir
-from .queries import query, records, spread, table, text_of
+from . import reports
+from .queries import query, records, rounded, spread, table, text_of
 
 # scans and sinks ------------------------------------------------------------
 
@@ -111,6 +113,21 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.file_digest(spark, f"{path}/part-*").select("sha256")
 
 
+@query
+def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens a second and valid outputs of the records' raw texts."""
+    k = F.col("record_id")
+    r = records(spark, sf_dir).select("raw", (k % 17).alias("tokens"), ((k % 9 + 1) / 10).alias("seconds"))
+    return rounded(reports.generation_summary(r))
+
+
+@query
+def semantic_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for what the schema leaves to the model."""
+    r = records(spark, sf_dir)
+    return r.select("record_id", P.semantic_prompt(F.col("schema"), F.col("source_text")).alias("prompt"))
+
+
 # registries -----------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calibration as C
+from ..operators.jsonops import parse_object
 from ..operators.metrics import field_f1
 
 
@@ -29,3 +30,10 @@ def confidence_report(results: DataFrame, confidence: str, threshold: float = 0.
     for r in risks:
         out = out.join(C.coverage_at_risk(points, r).withColumnRenamed("coverage", f"coverage_at_{round(100 * r)}"))
     return out
+
+
+def generation_summary(outputs: DataFrame) -> DataFrame:
+    """One row of outputs (raw, tokens, seconds): tokens a second, and the share in which there is a JSON object; 0 without any."""
+    valid = F.count_if(parse_object(F.col("raw")).isNotNull())
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
+    return outputs.agg(rate(F.sum("tokens"), F.sum("seconds")).alias("tokens_per_second"), rate(valid, F.count(F.lit(1))).alias("valid_json"))
