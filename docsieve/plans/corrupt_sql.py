@@ -7,7 +7,7 @@ or the text itself where severity 0 or 1 leaves no choice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,13 +120,19 @@ def _implicit(base: str, ordinal: str) -> str:
       SELECT *, {days} AS days FROM (SELECT *, {told} AS t1 FROM (SELECT *, coalesce(try_cast({age} AS INT), 0) AS n FROM ({base}))))))"""
 
 
-def base_sql() -> str:
+def base_sql(names: Sequence[str] = tuple(sorted(SEEDS)), seed: int = SEED) -> str:
     """record_id, schema, text, reference, level (0 to 2) of the seeds that the queries corrupt."""
     n = "(SELECT greatest(1, count(*) // 30) FROM customer)"
-    blocks = [f"SELECT * FROM ({seed_sql(name, f'SELECT {i} * {len(LEVELS)} * {n} + range AS k FROM range({len(LEVELS)} * {n})', SEED)})" for i, name in enumerate(sorted(SEEDS))]
+    blocks = [f"SELECT * FROM ({seed_sql(name, f'SELECT {i} * {len(LEVELS)} * {n} + range AS k FROM range({len(LEVELS)} * {n})', seed)})" for i, name in enumerate(names)]
     return f"SELECT record_id, schema, source_text AS text, reference, (record_id % ({len(LEVELS)} * {n})) // {n} AS level FROM ({' UNION ALL '.join(blocks)})"
 
 
+def generate_sql() -> str:
+    """What ``corpus_generate`` shows."""
+    return f"""SELECT record_id, schema, reference, 'severity=' || ['0.0', '0.5', '1.0'][(level + 1)::INT] AS severity, level > 0 AS changed, CASE WHEN level = 0 THEN text END AS clean
+FROM ({base_sql(("invoice", "medical_note"), 7)})"""
+
+
 def corrupt_sql(operator: str, ordinal: str) -> str:
     """record_id, schema, reference, shown; ordinal is SQL for the words of ordinal n."""
     base = base_sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import catalog
 from ..sources.corrupt import OPERATORS
-from .corrupt_sql import corrupt_sql
+from .corrupt_sql import corrupt_sql, generate_sql
 from .oracle import _RECORDS, ORACLE
 
 _TAGS = "CASE WHEN amb THEN 'typo,ambiguate,severity=0.5' ELSE 'typo,severity=0.5' END"
@@ -36,6 +36,7 @@ _TENS = "['twent','thirt','fort','fift','sixt','sevent','eight','ninet']"
 _ORDINAL = f"CASE WHEN n < 20 THEN {_ORDINALS}[n + 1] WHEN n % 10 = 0 THEN {_TENS}[n // 10 - 1] || 'ieth' ELSE {_TENS}[n // 10 - 1] || 'y-' || {_AFTER}[n % 10] END"
 
 ORACLE |= {f"corrupt_{name}": corrupt_sql(name, f"({_ORDINAL})") for name in OPERATORS}
+ORACLE["corpus_generate"] = generate_sql()
 ORACLE |= {
     "jsonl_scan": f"WITH {_RECORDS} SELECT schema, {_SOURCE} AS source_text, {_NUMBER} AS number, {_TAGS} AS tags FROM (SELECT *, k % 11 = 0 AS amb FROM r)",
     "jsonl_scan_errors": """SELECT [NULL, 'not a JSON object', 'schema must be a non-empty string', 'reference must be an object', 'tags must be a list of strings'][c_custkey % 5 + 1] AS error, count(*) AS n

@@ -572,7 +572,11 @@ for _name in CO.OPERATORS:
 
 @query
 def corpus_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CO.corpus(spark, ["invoice", "medical_note"], corpus_size(spark, sf_dir), [0.0, 0.5, 1.0], ["ocr_noise", "typo", "delabel"], seed=7, split="train")
+    """A chain of operators on schemas for training: gold, severity, and the text where that is 0."""
+    c = CO.corpus(spark, ["invoice", "medical_note"], corpus_size(spark, sf_dir), list(CS.LEVELS), ["ocr_noise", "typo", "delabel"], seed=7, split="train")
+    level = F.element_at("tags", -1)
+    changed = F.size("tags") > 1
+    return c.select("record_id", "schema", "reference", level.alias("severity"), changed.alias("changed"), F.when(level == "severity=0.0", F.col("source_text")).alias("clean"))
 
 
 @query
