@@ -38,13 +38,14 @@ def mismatch(schema: Column, error: Column, predicted: Column, source: Column) -
     )
 
 
-def classify(results: DataFrame, records: DataFrame) -> DataFrame:
+def classify(results: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """One row a failure: record_id, schema, tags, seq, category, path, predicted, reference.
 
-    results are evaluated records; records give the source text by record_id.  A record
-    tagged ambiguous is one failure and nothing else.
+    results are evaluated records that kept ``source_text``; without it records give it by
+    record_id.  A record tagged ambiguous is one failure and nothing else.
     """
-    r = results.join(records.select("record_id", F.coalesce("source_text", F.lit("")).alias("source")), "record_id")
+    r = results if records is None else results.join(records.select("record_id", "source_text"), "record_id")
+    r = r.withColumn("source", F.coalesce("source_text", F.lit("")))
     kind = "struct<category:string,path:string,predicted:string,reference:string>"
 
     def row(category: str | Column, path: Column, p: Column, q: Column) -> Column:

@@ -239,8 +239,8 @@ def by_row(one: Callable[..., object], kind: pa.DataType) -> Callable[..., pa.Ar
     return run
 
 
-def evaluate_records(records: DataFrame) -> DataFrame:
-    """One row a record: counts, flags, and the paths that are missing, hallucinated or wrong.
+def evaluate_records(records: DataFrame, *keep: str) -> DataFrame:
+    """One row a record: counts, flags, and the paths that are missing, hallucinated or wrong; ``keep`` are further columns.
 
     records: record_id, schema, source_text (null: support is not checked), tags,
     prediction and reference (VARIANT).  Rows are judged each by itself, also where they
@@ -249,7 +249,8 @@ def evaluate_records(records: DataFrame) -> DataFrame:
     rules, none = all_rules(), Rules()
     judge = F.arrow_udf(by_row(lambda schema, *sides: compare(rules.get(schema, none), *sides), ARROW_RESULT), RESULT)
     found = judge("schema", "source_text", F.to_json("prediction"), F.to_json("reference"))
-    return records.select("record_id", "schema", "tags", found.alias("_found")).select("record_id", "schema", "tags", "_found.*")
+    names = ("record_id", "schema", "tags", *keep)
+    return records.select(*names, found.alias("_found")).select(*names, "_found.*")
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -476,7 +476,7 @@ def public_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    return FA.classify(M.evaluate_records(r.withColumn("prediction", J.parse_object(F.col("raw")))), r)
+    return FA.classify(M.evaluate_records(r.withColumn("prediction", J.parse_object(F.col("raw"))), "source_text"))
 
 
 @query
