@@ -27,6 +27,7 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import partial
 
 import ahocorasick
@@ -157,9 +158,11 @@ def _stretches(window: int, shards: int, batch: pa.RecordBatch):
         yield flush()
 
 
-def _windows(words: str, window: int) -> list[str]:
+def _windows(words: str, window: int) -> Iterator[str]:
+    """One at a time, so that of a long periodic text only the different ones are held."""
     w = words.split(" ")
-    return [" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
+    for i in range(len(w) - window + 1):
+        yield " ".join(w[i : i + window])
 
 
 def _seen(window: int, rows, seen: dict[str, list[int]]) -> None:

@@ -355,7 +355,6 @@ def test_tokens_are_those_of_the_json_tokenizer(documents, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for df in (documents, odd):
         ids = defaultdict(bytes)
         for r in packing.pieces(df.dropDuplicates(["doc_id"]), TOKENS, keep_ids=True).orderBy("doc_id", "piece").collect():
