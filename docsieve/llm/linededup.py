@@ -13,8 +13,10 @@ is one shingle) is at least ``threshold``:
 3. exact Jaccard verification, a bucket of up to ``SMALL`` different lines at a time: the
    sizes of all intersections are one product of the 0/1 matrix of lines and shingles, in
    bounded slices, and only a forest of the near pairs leaves the task.  Buckets of the
-   same lines are compared once.  A larger bucket is cut into groups of half that size, and
-   every two groups are such a bucket, so no pair is left out and no task is large;
+   same lines are compared once.  Of a larger bucket every line is first compared with the
+   least; those near it are joined, and what is left is compared with all lines in groups of
+   half that size, of which every two are such a bucket.  So no pair that could join two
+   components is left out, no task is large, and the work grows with lines times what is left;
 4. distributed union-find over the verified pairs; the component's first occurrence stays.
 
 A line's class keeps the occurrence that comes first by (doc_id, line number).  Empty
@@ -186,23 +188,56 @@ def _join_buckets(threshold: float, batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _near_pairs(threshold: float, batch: pa.RecordBatch):
+    keep = [bool(near_sets([p, q], threshold)[0, 1]) for p, q in zip(batch["p"].to_pylist(), batch["q"].to_pylist(), strict=True)]
+    yield batch.select(["value", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _dealt(met: DataFrame, sized: DataFrame, stars: DataFrame | None, small: int) -> DataFrame:
+    """(bucket, node) such that every two lines of a value that are to be compared share a bucket of at most ``small``.
+
+    Lines of a large value that are near its first one (``stars``) are joined already: those
+    are compared with the rest alone, and the rest with each other.
+    """
+    few = met.join(sized.filter(F.col("n") <= small).select("value"), "value").select(F.xxhash64("value", F.lit(0), F.lit(0)).alias("bucket"), "node")
+    if stars is None:
+        return few
+    near = stars.select("value", F.col("a").alias("node"), F.lit(0).alias("rest"))
+    near = near.union(sized.filter(F.col("n") > small).select("value", F.col("first").alias("node"), F.lit(0).alias("rest")))
+    many = met.join(sized.filter(F.col("n") > small).select("value"), "value").join(near, ["value", "node"], "left")
+    many = many.select("value", "node", F.coalesce("rest", F.lit(1)).alias("rest"))
+    counts = many.groupBy("value").agg(F.sum("rest").alias("n_rest"), F.count_if(F.col("rest") == 0).alias("n_near")).filter("n_rest > 0")
+    half = small // 2
+    groups = counts.select("value", F.ceil(F.col("n_rest") / half).cast("int").alias("p"), F.ceil(F.col("n_near") / half).cast("int").alias("q"))
+    placed = many.join(groups, "value")
+    # groups 0..p-1 are of the rest, -1..-q of those near the first
+    own = F.when(F.col("rest") == 1, F.pmod(F.xxhash64("node", "value"), F.col("p"))).otherwise(-1 - F.pmod(F.xxhash64("node", "value"), F.col("q"))).cast("int")
+    rest = F.sequence(F.lit(0), F.col("p") - 1)
+    other = F.when(F.col("rest") == 1, F.concat(rest, F.when(F.col("q") > 0, F.sequence(-F.col("q"), F.lit(-1))).otherwise(F.expr("cast(array() as array<int>)")))).otherwise(rest)
+    pairs = placed.withColumn("own", own).withColumn("other", F.explode(other))
+    return few.union(pairs.select(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node"))
+
+
 def near_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """(a, b) whose transitive closure is that of the near pairs; nodes are hashes of the trimmed line."""
     text = only(docs, "text")
     met = staged(shared_rows(text, partial(_banded, bands, rows)).distinct())
     lines = arrow_map(text, "node long, line string", _texts)
     known = lines.join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("line").alias("line"))
-    size = met.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = F.when(F.col("n") > small, F.ceil(F.col("n") / (small // 2))).otherwise(1).cast("int")
-    sized = met.join(size, "value").withColumn("groups", groups)
-    own = F.pmod(F.xxhash64("node", "value"), F.col("groups")).cast("int")
-    other = F.when(F.col("groups") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("groups") - 1), own))
-    dealt = sized.withColumn("own", own).withColumn("other", F.explode(other))
-    dealt = dealt.select("node", F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
-    sets = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("nodes")).filter(F.size("nodes") > 1).select("nodes").distinct()
+    sized = met.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    large = sized.filter(F.col("n") > small)
+    stars = None
+    if large.limit(1).count():
+        known, sized = staged(known), staged(sized)  # both are read again
+        pairs = met.join(sized.filter(F.col("n") > small), "value").filter("node <> first").select("value", F.col("node").alias("a"), F.col("first").alias("b"))
+        pairs = pairs.join(known.withColumnsRenamed({"node": "a", "line": "p"}), "a").join(known.withColumnsRenamed({"node": "b", "line": "q"}), "b")
+        stars = staged(arrow_map(pairs.select("value", "a", "b", "p", "q"), "value long, a long, b long", partial(_near_pairs, threshold)))
+    dealt = _dealt(met, sized, stars, small)
+    sets = dealt.groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("nodes")).filter(F.size("nodes") > 1).select("nodes").distinct()
     named = sets.select(F.xxhash64("nodes").alias("id"), F.explode("nodes").alias("node"))
     full = named.join(known, "node").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("node", "line"))).alias("bucket"))
-    return arrow_map(full.select("bucket"), "a long, b long", partial(_join_buckets, threshold))
+    found = arrow_map(full.select("bucket"), "a long, b long", partial(_join_buckets, threshold))
+    return found if stars is None else found.union(stars.select("a", "b").distinct())
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
@@ -215,16 +250,19 @@ def _repeats(docs: DataFrame) -> DataFrame:
 def _lines_and_repeated(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """doc_id, row, line_no of every line that is not empty, and of those that another row's or line's stands for."""
     parts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x, F.lit(_ENDS)))
-    hashes = F.transform(parts, lambda x: F.when(x != "", F.xxhash64(x)))
+    hashes = F.transform(parts, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("node"), F.hash(x).alias("check"))))
     # the outer form: for the other the optimiser infers a filter that splits and hashes a second time
-    lines = only(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.posexplode_outer(hashes).alias("line_no", "node"))
-    lines = lines.filter("node is not null")
+    lines = only(docs, "doc_id", "text").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.posexplode_outer(hashes).alias("line_no", "line"))
+    lines = lines.filter("line is not null").select("doc_id", "row", "line_no", "line.node", "line.check")
     found = components(near_lines(docs, threshold))
+    found = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     lines = staged(lines)
-    of_class = lines.join(found, "node", "left").select("doc_id", "row", "line_no", F.coalesce("root", "node").alias("class"))
-    first = of_class.groupBy("class").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # lines that are near none are equal by two hashes, 96 bits in all
+    check = F.when(F.col("root").isNull(), F.col("check")).otherwise(0)
+    of_class = lines.join(found, "node", "left").select("doc_id", "row", "line_no", F.coalesce("root", "node").alias("class"), check.alias("check"))
+    first = of_class.groupBy("class", "check").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = staged(first.drop("n"))  # a table of its own, so that a frequent class can be split over tasks
-    gone = of_class.join(first, "class").filter(~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "row", "line_no")
+    gone = of_class.join(first, ["class", "check"]).filter(~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "row", "line_no")
     return lines.select("doc_id", "row", "line_no"), gone
 
 
