@@ -13,6 +13,8 @@ from functools import lru_cache
 
 from .text import BLANKS, CURRENCY, DATE_FORMS, MONTH, MONTHS
 
+#: Texts of more code points are read anew each time.
+KEPT = 64
 _CURRENCY = re.compile(CURRENCY)
 _BLANKS = re.compile(BLANKS)
 _SPACE = re.compile(r"\s+")
@@ -73,9 +75,18 @@ def exact(text: str) -> Decimal | None:
         return None
 
 
-@lru_cache(maxsize=8_192)
 def number(text: str) -> Decimal | None:
     """A tolerant decimal: currency signs and spaces go, separators are read."""
+    return _number(text) if len(text) <= KEPT else _number.__wrapped__(text)
+
+
+def day(text: str) -> date | None:
+    """A date from numeric forms in order, then from month-name forms; only a whole date counts."""
+    return _day(text) if len(text) <= KEPT else _day.__wrapped__(text)
+
+
+@lru_cache(maxsize=8_192)
+def _number(text: str) -> Decimal | None:
     if not any("0" <= c <= "9" for c in text):
         return None
     clean = separated(_BLANKS.sub("", _CURRENCY.sub("", text.strip(" "))))
@@ -83,8 +94,7 @@ def number(text: str) -> Decimal | None:
 
 
 @lru_cache(maxsize=8_192)
-def day(text: str) -> date | None:
-    """A date from numeric forms in order, then from month-name forms; only a whole date counts."""
+def _day(text: str) -> date | None:
     t = text.strip(" ")
     if not any("0" <= c <= "9" for c in t):
         return None
