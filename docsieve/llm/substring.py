@@ -10,7 +10,7 @@ word sequence also begins in a document with a smaller doc_id.
    documents have are the recurring phrases; the smallest doc_id is the owner.
 3. Automata: stretches are dealt out by anchor to so many shards that a shard is small, in
    packed and compressed cells.  A shard has every occurrence of its phrases: it confirms
-   them, compiles them, as sequences of word numbers, into an Aho-Corasick automaton, and streams its
+   them, compiles them, a few symbols a word, into an Aho-Corasick automaton, and streams its
    stretches through it.  Every occurrence in a document other than the owner is a hit.
    Anchors in very many texts are salted over tasks: their phrases are confirmed with a
    grouped minimum and maximum, and each salt compiles the anchor's automaton for its own
@@ -27,7 +27,7 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import ahocorasick
@@ -47,6 +47,8 @@ PHRASE = 5
 #: Stretches that a shard holds at about, and texts from which on an anchor is salted.
 STRETCHES = 40_000
 HOT = 1_500
+#: Symbols of a place, and places of a word at first: three make strings of one byte a symbol and 614,124 words.
+BASE, PLACES = 85, 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,45 +190,108 @@ def _phrases(window: int, batch: pa.RecordBatch):
         )
 
 
-def compile_automaton(owners: dict[str, int]) -> tuple[ahocorasick.Automaton, dict[str, int]]:
-    """Keys are sequences of word numbers, from 1; the automaton's values are the owners of the phrases."""
-    number: dict[str, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+class Coder(dict):
+    """Words as strings of ``places`` symbols; a new word gets the next number.
+
+    A node of the automaton is searched child by child, so words as single symbols make its
+    root slow.  The symbols of different places differ, so that only whole words match.
+    """
+
+    def __init__(self, places: int):
+        super().__init__()
+        self.places = places
+
+    def number(self, n: int) -> str:
+        out = ""
+        for place in range(self.places):
+            n, digit = divmod(n, BASE)
+            out = chr(place * BASE + digit) + out
+        if n:
+            raise OverflowError(f"{self.places} places are too few")
+        return out
+
+    def __missing__(self, word: str) -> str:
+        self[word] = out = self.number(len(self) + 1)
+        return out
+
+    def encode(self, words: str) -> str:
+        return "".join([self[w] for w in words.split(" ")])
+
+
+def with_places(run: Callable[[Coder], pd.DataFrame]) -> pd.DataFrame:
+    """run with as many places as its words need."""
+    places = PLACES
+    while True:
+        coder = Coder(places)
+        try:
+            return run(coder)
+        except OverflowError:
+            if len(coder) < BASE**places - 1:  # not for want of numbers
+                raise
+        places += 1
+
+
+def compile_automaton(owners: dict[str, int]) -> ahocorasick.Automaton:
+    """Keys are encoded phrases; the automaton's values are their owners."""
+    automaton = ahocorasick.Automaton()
     for phrase, owner in owners.items():
-        automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in phrase.split(" ")]), owner)
+        automaton.add_word(phrase, owner)
     automaton.make_automaton()
-    return automaton, number
+    return automaton
 
 
-def locate(window: int, owners: dict[str, int], rows) -> pd.DataFrame:
-    """Word ranges of the occurrences outside of their owners, merged inside a stretch."""
+def locate(window: int, places: int, owners: dict[str, int], rows) -> pd.DataFrame:
+    """Word ranges of the occurrences outside of their owners, merged inside a stretch; all text is encoded."""
     out: list[tuple[int, int, int, int]] = []
     if owners:
-        automaton, number = compile_automaton(owners)
-        for doc, row, begin, words in rows:
+        automaton = compile_automaton(owners)
+        for doc, row, begin, code in rows:
             start = end = -1
-            for last, owner in automaton.iter(tuple([number.get(w, 0) for w in words.split(" ")])):
+            for last, owner in automaton.iter(code):
                 if owner < doc:
-                    a = begin + last + 1 - window
-                    if a > end:
+                    upto = begin + (last + 1) // places
+                    if upto - window > end:
                         if end >= 0:
                             out.append((doc, row, start, end))
-                        start = a
-                    end = begin + last + 1
+                        start = upto - window
+                    end = upto
             if end >= 0:
                 out.append((doc, row, start, end))
     return pd.DataFrame(out, columns=["doc_id", "row", "start", "end"], dtype=np.int64)
 
 
-def _shard(window: int, cells: pd.DataFrame) -> pd.DataFrame:
-    rows = [r for cell in cells["rows"] for r in _unpack(cell)]
+def confirmed(window: int, places: int, rows: list[tuple[int, int, int, str]]) -> dict[str, int]:
+    """The owners of the encoded windows that two documents have."""
     seen: dict[str, list[int]] = {}
-    _seen(window, rows, seen)
-    return locate(window, {p: v[0] for p, v in seen.items() if v[0] < v[1]}, rows)
+    size = window * places
+    for doc, _, _, code in rows:
+        for at in range(0, len(code) - size + 1, places):
+            p = code[at : at + size]
+            if (v := seen.get(p)) is None:
+                seen[p] = [doc, doc]
+            elif doc < v[0]:
+                v[0] = doc
+            elif doc > v[1]:
+                v[1] = doc
+    return {p: v[0] for p, v in seen.items() if v[0] < v[1]}
+
+
+def _shard(window: int, cells: pd.DataFrame) -> pd.DataFrame:
+    def run(coder: Coder) -> pd.DataFrame:
+        rows = [(doc, row, begin, coder.encode(words)) for cell in cells["rows"] for doc, row, begin, words in _unpack(cell)]
+        return locate(window, coder.places, confirmed(window, coder.places, rows), rows)
+
+    return with_places(run)
 
 
 def _salted(window: int, phrases: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-    return locate(window, dict(zip(phrases["phrase"], phrases["owner"], strict=True)), (r for cell in cells["rows"] for r in _unpack(cell)))
+    def run(coder: Coder) -> pd.DataFrame:
+        owners = {coder.encode(p): owner for p, owner in zip(phrases["phrase"], phrases["owner"], strict=True)}
+        other = coder.number(0)  # of a word that is in no phrase
+        texts = ((doc, row, begin, words.split(" ")) for cell in cells["rows"] for doc, row, begin, words in _unpack(cell))
+        return locate(window, coder.places, owners, ((doc, row, begin, "".join([coder.get(w, other) for w in words])) for doc, row, begin, words in texts))
+
+    return with_places(run)
 
 
 def removals(docs: DataFrame, window: int = WINDOW, stretches: int = STRETCHES, hot: int = HOT) -> DataFrame:
