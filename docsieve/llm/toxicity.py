@@ -183,14 +183,27 @@ def classes_of(token: str, weight: float) -> int:
     )
 
 
-def clause_paths(lexicon: Lexicon, text: str) -> np.ndarray:
-    """FEATURES of a text: one run of the composed transducers over its words."""
+#: Tokens whose classes a task keeps at a time.
+KEPT = 200_000
+
+
+def clause_paths(lexicon: Lexicon, text: str, known: dict[str, tuple[int, float]] | None = None) -> np.ndarray:
+    """FEATURES of a text: one run of the composed transducers over its words.
+
+    ``known`` keeps classes and weights of tokens from one text to the next.
+    """
+    known = {} if known is None else known
     sums = dict.fromkeys(FEATURES, 0.0)
     clause, states = 0.0, _START
-    for m in _TOKEN.finditer(text):
-        t = m.group().lower()
-        w = weight_of(lexicon, t)
-        classes = classes_of(t, w)
+    for t in _TOKEN.findall(text.lower()):
+        if (found := known.get(t)) is None:
+            if len(known) >= KEPT:
+                known.clear()
+            w = weight_of(lexicon, t)
+            found = known[t] = classes_of(t, w), w
+        classes, w = found
+        if not classes and states == _START:
+            continue  # the machines stay at their starts
         states, said = _STEP(states, classes)
         if classes & (STOP | LINE):
             sums["clauses"] += clause > 0
@@ -232,8 +245,9 @@ def _terms(batches):
 
 
 def _train_features(lexicon, batch):
+    known: dict[str, tuple[int, float]] = {}
     for chunk in text_chunks(batch):
-        x = [clause_paths(lexicon, t or "").tolist() for t in chunk["text"].to_pylist()]
+        x = [clause_paths(lexicon, t or "", known).tolist() for t in chunk["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([chunk["toxic"].cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
 
@@ -283,17 +297,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(lexicon, w, float(1 / (1 + math.exp(-w[0]))))
 
 
-def score_of(model: Model, text: str) -> float:
+def score_of(model: Model, text: str, known: dict[str, tuple[int, float]] | None = None) -> float:
     if not model.weights.any() or not has_hit(model.lexicon, text):
         return model.quiet
-    z = model.weights[0] + model.weights[1:] @ clause_paths(model.lexicon, text)
+    z = model.weights[0] + model.weights[1:] @ clause_paths(model.lexicon, text, known)
     return float(1 / (1 + math.exp(-min(max(z, -30.0), 30.0))))
 
 
 def _scored(model, batch):
+    known: dict[str, tuple[int, float]] = {}
     for chunk in text_chunks(batch):
         ids = chunk["doc_id"].to_pylist()
-        s = [score_of(model, t or "") for t in chunk["text"].to_pylist()]
+        s = [score_of(model, t or "", known) for t in chunk["text"].to_pylist()]
         held = [None if i is None else zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
         yield pa.RecordBatch.from_arrays(
             [chunk["doc_id"], pa.array(held, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())],
