@@ -142,12 +142,9 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int, rough: np.ndarray | None = None):
-    """Best k rows for one query, by exact score and then id; every near tie is scored exactly.
-
-    rough has the inner products as a matrix product gave them.
-    """
-    rough = x @ q if rough is None else rough
+def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int):
+    """Best k rows for one query, by exact score and then id; every near tie is scored exactly."""
+    rough = x @ q
     at = np.flatnonzero(ids != own)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0)
@@ -230,9 +227,24 @@ def _visit(tree: Tree, visits: int, blocks: Blocks, batch: pa.RecordBatch):
         )
 
 
-def search_block(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, own: np.ndarray, q: np.ndarray, leaves: list, k: int, held: int = 1 << 21):
-    """(query, found ids, scores) for the queries of one block: each of its leaves meets the queries that visit it."""
-    order = np.argsort(leaf, kind="stable")
+def few_of_each(x: np.ndarray, ids: np.ndarray, few: int) -> np.ndarray:
+    """The rows with the ``few`` smallest ids of every different vector; equal ones tie, so no others can be found."""
+    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    _, vector = np.unique(whole, return_inverse=True)
+    order = np.lexsort((ids, vector))
+    rank = np.arange(len(ids)) - np.searchsorted(vector[order], vector[order])
+    return np.sort(order[rank < few])
+
+
+def search_block(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, own: np.ndarray, q: np.ndarray, leaves: list, k: int, held: int = 1 << 20):
+    """(queries by place, found ids, scores) of one block: each of its leaves meets the queries that visit it.
+
+    What a leaf's k-th best row leaves out, and every later leaf's, is not scored exactly;
+    near ties are.  Best first, ties to the smaller id, an id once a query.
+    """
+    rows = k * int(np.unique(ids, return_counts=True)[1].max())  # so many rows hold k ids
+    order = few_of_each(x, ids, rows + rows // k)  # one id more, since a query's own does not count
+    order = order[np.argsort(leaf[order], kind="stable")]
     x, ids, leaf = x[order], ids[order], leaf[order]
     numbers, starts = np.unique(leaf, return_index=True)
     ends = dict(zip(numbers.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True), strict=True))
@@ -241,36 +253,42 @@ def search_block(x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, own: np.ndarr
         for one in wanted:
             if one in ends:
                 visitors.setdefault(int(one), []).append(i)
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for one, who in visitors.items():
+    bar, slack = np.full(len(q), -np.inf), 1e-9 * (1 + np.abs(q).sum(axis=1))
+    who, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for one, some in visitors.items():
         a, b = ends[one]
         step = max(1, held // (b - a))
-        for at in range(0, len(who), step):
-            some = who[at : at + step]
-            rough = q[some] @ x[a:b].T
-            for i, r in zip(some, rough, strict=True):
-                found, score = top(q[i], x[a:b], ids[a:b], own[i], k, r)
-                if i in best:
-                    found, score = np.concatenate([best[i][0], found]), np.concatenate([best[i][1], score])
-                    order = np.lexsort((found, -score))
-                    found, score = found[order], score[order]
-                    keep = np.sort(np.unique(found, return_index=True)[1])[:k]  # an id that two leaves have counts once
-                    found, score = found[keep], score[keep]
-                best[i] = found, score
-    for i, (found, score) in best.items():
-        yield own[i], found, score
+        for first in range(0, len(some), step):
+            these = np.array(some[first : first + step])
+            rough = q[these] @ x[a:b].T
+            rough[ids[a:b] == own[these, None]] = -np.inf
+            if b - a > rows:
+                bar[these] = np.maximum(bar[these], np.partition(rough, b - a - rows, axis=1)[:, b - a - rows])
+            least = np.where(np.isfinite(bar[these]), bar[these] - slack[these] * (1 + np.abs(bar[these])), -np.inf)
+            i, j = np.nonzero((rough >= least[:, None]) & np.isfinite(rough))
+            who.append(these[i])
+            at.append(a + j)
+    who, at = np.concatenate(who), np.concatenate(at)
+    score = np.concatenate([np.zeros(0), *((x[at[i : i + 50_000]] * q[who[i : i + 50_000]]).sum(axis=1) for i in range(0, len(at), 50_000))])
+    found = ids[at]
+    order = np.lexsort((-score, found, who))
+    who, found, score = who[order], found[order], score[order]
+    fresh = np.ones(len(who), bool)
+    fresh[1:] = (who[1:] != who[:-1]) | (found[1:] != found[:-1])
+    who, found, score = who[fresh], found[fresh], score[fresh]
+    order = np.lexsort((found, -score, who))
+    who, found, score = who[order], found[order], score[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    return who[rank < k], found[rank < k], score[rank < k]
 
 
 def _search(k: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     if not (len(left) and len(right)):
-        return none
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     x, q = np.stack(left["v"]).astype(np.float64), np.stack(right["q"]).astype(np.float64)
-    rows = list(search_block(x, left["vec_id"].to_numpy(), left["leaf"].to_numpy(), right["query_id"].to_numpy(), q, list(right["leaves"]), k))
-    if not rows:
-        return none
-    own, found, score = zip(*rows, strict=True)
-    return pd.DataFrame({"query_id": np.repeat(own, [len(f) for f in found]), "vec_id": np.concatenate(found), "score": np.concatenate(score)})
+    own = right["query_id"].to_numpy()
+    who, found, score = search_block(x, left["vec_id"].to_numpy(), left["leaf"].to_numpy(), own, q, list(right["leaves"]), k)
+    return pd.DataFrame({"query_id": own[who], "vec_id": found, "score": score})
 
 
 def valid_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
