@@ -46,7 +46,7 @@ BLOCK_WORDS, MIN_BLOCKS, MAX_BLOCKS = 65_536, 256, 1 << 20
 #: Blocks that a shard aims at, and the least and most levels of the tree (so 16 to 4096 shards).
 SHARD_BLOCKS, LEVELS = 64, (4, 12)
 #: Documents of a shard that are laid out together.
-STRETCH = 16_384
+STRETCH = 1_024
 #: Levels that run in one task; below them every node is a task's own.
 TOP_LEVELS = 6
 
@@ -290,6 +290,22 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
     return taken.drop("source", "row")
 
 
+def _copies_of(rows: DataFrame, several: DataFrame, same: Column) -> DataFrame:
+    """The rows that are equal in doc_id, source and text with the places of each.
+
+    Copies are numbered in the order of their other columns; rows equal in all are counted, not ranked.
+    """
+    keys = ("_doc_id", "_source", "_row")
+    alike = rows.join(several.select(*keys).distinct(), same).groupBy(*keys, "_doc").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_doc").rowsBetween(W.unboundedPreceding, W.currentRow))
+    each = alike.withColumn("_upto", upto).select(
+        F.col("_doc"), F.col("_doc_id").alias("k_id"), F.col("_source").alias("k_source"), F.col("_row").alias("k_row"),
+        F.explode(F.sequence(F.col("_upto") - F.col("_n"), F.col("_upto") - 1)).alias("k_copy"),
+    )
+    mine = F.col("k_id").eqNullSafe(F.col("_doc_id")) & F.col("k_source").eqNullSafe(F.col("_source")) & (F.col("k_row") == F.col("_row"))
+    return each.join(several, mine & (F.col("k_copy") == F.col("_copy")))
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row for each time one is taken, cut to its first words where the target falls.
 
@@ -304,17 +320,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     same = F.col("_doc.doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_row"))
     names = ("_doc", "_taken", "_size", "_shard", "_position")
     joined = rows.join(plan.filter("_copies = 1"), same).select(*names)
-    # copies are numbered in the order of their other columns; rows equal in all are counted, not ranked
     several = plan.filter("_copies > 1")
-    keys = ("_doc_id", "_source", "_row")
-    alike = rows.join(several.select(*keys).distinct(), same).groupBy(*keys, "_doc").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_doc").rowsBetween(W.unboundedPreceding, W.currentRow))
-    each = alike.withColumn("_upto", upto).select(
-        F.col("_doc"), F.col("_doc_id").alias("k_id"), F.col("_source").alias("k_source"), F.col("_row").alias("k_row"),
-        F.explode(F.sequence(F.col("_upto") - F.col("_n"), F.col("_upto") - 1)).alias("k_copy"),
-    )
-    mine = F.col("k_id").eqNullSafe(F.col("_doc_id")) & F.col("k_source").eqNullSafe(F.col("_source")) & (F.col("k_row") == F.col("_row"))
-    joined = joined.union(each.join(several, mine & (F.col("k_copy") == F.col("_copy"))).select(*names))
+    if several.limit(1).count():  # otherwise all texts would be shuffled once more for nothing
+        joined = joined.union(_copies_of(rows, several, same).select(*names))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # stretches of a shard, so that no task has to hold a whole one and none is sampled for its range
     stretch = F.floor(F.col("_position") / STRETCH)
