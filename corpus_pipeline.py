@@ -35,8 +35,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents that share 0.8 of their five-word shingles one stays: the first by (doc_id, hash of the text).
 
     Null doc_ids are last; null, empty and blank texts are near each other; of rows equal in
-    doc_id and text one stays.  Operator 4 links fingerprints at two bits, which at this
-    similarity is next to none, so candidates are MinHash's (see ``neardocs``).
+    doc_id and text one stays.  Candidates are operator 4's links of fingerprints, and since two
+    bits reach next to no pair at this similarity also MinHash's (see ``neardocs``).
     """
     return neardocs.one_of_each(docs)
 

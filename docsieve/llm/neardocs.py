@@ -2,16 +2,19 @@
 
 Documents are near when the Jaccard similarity of their sets of shingles of ``WIDTH``
 words (A-Z lower-cased; a shorter text is one shingle) is at least ``THRESHOLD``.  At 0.8
-SimHash fingerprints are ten bits apart on average and up to about twenty, where no
-partition of 64 bits is selective any more, so candidates come from MinHash:
-
-1. equal sets are one node from the start; ``BANDS * ROWS`` independent minima a set, of
-   which a pair at 0.8 shares no whole band with a chance of 3 in 100,000;
-2. every node of a band's value is compared with the least one there, exactly;
-3. where that leaves a value with more than one component, all its nodes of different
+two fingerprints of operator 4 are ten bits apart on average and up to about twenty, where
+no partition of 64 bits is selective any more, so its links are completed by MinHash:
+
+1. equal sets are one node from the start, with operator 4's fingerprint of its shingles;
+   fingerprints at two or fewer differing bits meet by the generalised pigeonhole principle
+   (``simhash.alike``), none left out;
+2. nodes with the same value of a band meet too: ``BANDS * ROWS`` independent minima a set,
+   of which a pair at 0.8 shares no whole band with a chance of 3 in 100,000;
+3. every node of a value is compared with the least one there, exactly;
+4. where that leaves a value with more than one component, all its nodes of different
    components are compared, up to ``SMALL`` at a time; more are cut into groups of half that
    size of which every two are compared, so no pair is left out and no task is large;
-4. distributed union-find over the verified pairs.
+5. distributed union-find over the verified pairs.
 
 A component keeps the row that comes first by (doc_id, hash of the text), null doc_ids
 last.
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import arrow_map, first_rows, mix64, only, staged, text_chunks, text_hash, utf8, word_hashes
 from .components import components
 from .sharing import shared_rows
@@ -80,11 +84,13 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _marked(batch: pa.RecordBatch):
-    for chunk in text_chunks(batch, limit=1 << 20):
+    for chunk in text_chunks(batch, limit=1 << 18):
         sets = shingle_sets(chunk["text"])
         node = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
         bands = [band_values(s).tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk["row"], pa.array(node), pa.array(bands, pa.binary())], ["doc_id", "row", "node", "bands"])
+        fp = simhash.text_fingerprints(chunk["text"], WIDTH, once=True)
+        columns = {"doc_id": chunk["doc_id"], "row": chunk["row"], "node": pa.array(node), "bands": pa.array(bands, pa.binary()), "fp": fp}
+        yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
 
 def _banded(batch: pa.RecordBatch):
@@ -95,7 +101,7 @@ def _banded(batch: pa.RecordBatch):
 
 
 def _known(batch: pa.RecordBatch):
-    for chunk in text_chunks(batch, limit=1 << 20):
+    for chunk in text_chunks(batch, limit=1 << 18):
         sets = {_node(s): s for s in shingle_sets(chunk["text"])}
         node = np.fromiter(sets, np.uint64, len(sets)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["node", "set"])
@@ -144,11 +150,18 @@ def _join_buckets(batch: pa.RecordBatch):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
 
 
+def _linked(marked: DataFrame) -> DataFrame:
+    """(value, node): nodes whose fingerprints are at most two bits apart share a value."""
+    nodes = staged(marked.select("fp", "node").distinct())
+    equal = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("fp").alias("value"), "fp")
+    return simhash.alike(nodes.select("fp").distinct()).union(equal).join(nodes, "fp").select("value", "node")
+
+
 def near_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, row (hash of the text), root of every row of docs; near rows have the same root."""
     text = only(docs, "doc_id", "text").withColumn("row", text_hash())
-    marked = staged(arrow_map(text, "doc_id long, row long, node long, bands binary", _marked))
-    met = staged(shared_rows(marked.select("node", "bands"), _banded).distinct())
+    marked = staged(arrow_map(text, "doc_id long, row long, node long, bands binary, fp long", _marked))
+    met = staged(shared_rows(marked.select("node", "bands"), _banded).union(_linked(marked)).distinct())
     wanted = marked.select("node", "row").join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row"))
     texts = text.select("row", "text").join(wanted.select("row").distinct(), "row")
     known = staged(arrow_map(texts.select("text"), "node long, set binary", _known).groupBy("node").agg(F.min("set").alias("set")))

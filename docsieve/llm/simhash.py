@@ -49,8 +49,8 @@ FREQUENT = 24
 _NEVER = np.float64(1e18)
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """A-Z lower-cased; a bit is set if more than half of the shingle hashes have it."""
+def fingerprint(data: bytes, shingle: int = SHINGLE, once: bool = False) -> int:
+    """A-Z lower-cased; a bit is set if more than half of the shingle hashes have it; ``once``: repeats do not count."""
     words = data.lower().split()
     if not words:
         return 0
@@ -60,6 +60,7 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
         digest = xxhash.xxh64_intdigest
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         hashes = np.fromiter((digest(g, SEED) for g in grams), dtype="<u8", count=len(words) - shingle + 1)
+        hashes = np.unique(hashes) if once else hashes
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
@@ -67,12 +68,17 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def text_fingerprints(column: pa.Array, shingle: int = SHINGLE, once: bool = False) -> pa.Array:
+    """The fingerprint of each text as a signed long."""
+    data, offsets = utf8(column)
+    raw = data.tobytes()
+    out = np.array([fingerprint(raw[a:b], shingle, once) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
+    return pa.array(out.view(np.int64))
+
+
 def _fingerprints(shingle: int, batch: pa.RecordBatch):
     for chunk in text_chunks(batch):
-        data, offsets = utf8(chunk["text"])
-        raw = data.tobytes()
-        out = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-        yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([chunk["doc_id"], text_fingerprints(chunk["text"], shingle)], ["doc_id", "fp"])
 
 
 def _with_hash(shingle: int, batch: pa.RecordBatch):
@@ -228,10 +234,10 @@ def _probes(masks, groups, counts, frequent, batch):
         )
 
 
-def links(distinct: DataFrame, parts: int | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """(a, b) whose transitive closure is that of all pairs of fp at most two bits apart.
+def meetings(distinct: DataFrame, parts: int | None = None, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) and keys (part, key, rest, a) that together have all pairs of fp at most two bits apart, and no others.
 
-    The driver gets the 64 x 64 bit counts and the cells of the sketch, never fingerprints.
+    Any two fingerprints at one key are a pair.  The driver gets the 64 x 64 bit counts and the cells of the sketch, never fingerprints.
     """
     total = np.zeros(BITS * BITS + 1, np.int64)
     for r in distinct.mapInArrow(lean(_together), "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():
@@ -252,10 +258,25 @@ def links(distinct: DataFrame, parts: int | None = None, frequent: int = FREQUEN
     index = rows.filter("kind = 0").select("part", "key", F.col("fp").alias("b"))
     probe = rows.filter("kind = 1").select("part", "key", F.col("fp").alias("a"))
     close = probe.join(index, ["part", "key"]).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
-    meet = rows.filter("kind = 2").select("part", "key", "rest", F.col("fp").alias("a"))
+    return close.select("a", "b"), rows.filter("kind = 2").select("part", "key", "rest", F.col("fp").alias("a"))
+
+
+def links(distinct: DataFrame, parts: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """(a, b) whose transitive closure is that of all pairs of fp at most two bits apart."""
+    close, meet = meetings(distinct, parts, frequent)
     least = meet.groupBy("part", "key", "rest").agg(F.min("a").alias("b"), F.max("a").alias("c")).filter("b <> c")
     star = meet.join(least, ["part", "key", "rest"]).filter("a <> b")
-    return close.select("a", "b").union(star.select("a", "b"))
+    return close.union(star.select("a", "b"))
+
+
+def alike(distinct: DataFrame, parts: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """(value, fp): any two fp at most two bits apart share a value, so that what they stand for can be compared."""
+    close, meet = meetings(distinct, parts, frequent)
+    ends = close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = ends.select(F.xxhash64("a", "b").alias("value"), F.explode(F.array("a", "b")).alias("fp"))
+    several = meet.groupBy("part", "key", "rest").agg(F.min("a").alias("b"), F.max("a").alias("c")).filter("b <> c")
+    keyed = meet.join(several, ["part", "key", "rest"]).select(F.xxhash64("part", "key", "rest").alias("value"), F.col("a").alias("fp"))
+    return pairs.union(keyed)
 
 
 def _grouped(marked: DataFrame, parts: int | None, frequent: int) -> DataFrame:
