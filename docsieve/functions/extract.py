@@ -23,6 +23,8 @@ ARROW_EXTRACTION = pa.struct(_FIELDS)
 
 def extraction_array(found: Sequence[spans.Found | None]) -> pa.StructArray:
     """Extractions as Arrow structs; None is null."""
+    if found and None not in found:
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*found, strict=True), _FIELDS, strict=True)], fields=[pa.field(*f) for f in _FIELDS])
     columns = [pa.array([None if f is None else f[i] for f in found], kind) for i, (_, kind) in enumerate(_FIELDS)]
     nulls = pa.array([f is None for f in found], pa.bool_())
     return pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in _FIELDS], mask=nulls)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from docsieve.plans import queries
 from docsieve.sources import corrupt as CO
 from docsieve.sources.seeds import TASK_RECORDS, seeds
 
@@ -20,3 +22,10 @@ def test_grouped_words_match_as_plain_ones(spark):
     new, old = (F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (CO.any_of(words), plain))
     assert rows.filter(~new.eqNullSafe(old)).count() == 0
     assert rows.select(F.size(new)).first()[0] == 8
+
+
+@pytest.mark.parametrize("name", ["prepass_invoice", "line_items", "resolve_overlaps", "unresolved_fields", "list_partial_credit", "record_f1", "extract_money", "gate_steps"])
+def test_queries_over_orders_have_tasks_of_bounded_size(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(queries, "TASK_ROWS", 20, raising=False)
+    rows = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert queries.QUERIES[name](spark, sf).rdd.getNumPartitions() >= rows / 100
