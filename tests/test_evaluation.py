@@ -204,3 +204,16 @@ def test_failures(spark):
     f = FA.classify(M.evaluate_records(amb), amb)
     assert [x.category for x in f.collect()] == ["ambiguous_input"]
     assert [x.operator for x in FA.by_category_and_operator(f).collect()] == ["ambiguate"]
+
+
+def test_counts_without_lists_are_the_same_and_records_are_evaluated_once(spark, sf, monkeypatch):
+    from docsieve.plans import queries as Q
+
+    names = ["record_id", "exact_match", "schema_valid", "n_correct", "n_predicted", "n_reference", "n_missing", "n_hallucinated"]
+    whole, counts = (Q.evaluated(spark, sf, lists=x) for x in (True, False))
+    assert counts.columns == ["record_id", "schema", "tags", *names[1:]]
+    assert sorted(whole.select(names).collect()) == sorted(counts.select(names).collect())
+    judged = spark.sparkContext.accumulator(0)
+    results = whole.withColumn("n_correct", F.udf(lambda n: (judged.add(1), n)[1], "bigint")("n_correct")).withColumn("c", F.lit(0.5))
+    Q.confidence_report(results, "c").collect()
+    assert judged.value == whole.count()
