@@ -86,11 +86,18 @@ def as_found(rows: list[dict] | None) -> list[spans.Found]:
     return [spans.Found(**r) for r in rows or ()]
 
 
+def found_rows(rows: pa.ListArray) -> list[list[spans.Found] | None]:
+    """Lists of extractions, column by column; a null list is None."""
+    flat = list(map(spans.Found._make, zip(*(rows.values.field(name).to_pylist() for name, _ in _FIELDS), strict=True)))
+    at = rows.offsets.to_pylist()
+    return [None if null else flat[a:b] for null, a, b in zip(rows.is_null().to_pylist(), at, at[1:], strict=False)]
+
+
 def resolve_overlaps(found: Column) -> Column:
     """Of overlapping extractions the longest; of equal ones the surer, then the earlier."""
 
     def run(rows: pa.Array) -> pa.Array:
-        return list_array([None if r is None else spans.without_overlaps(as_found(r)) for r in rows.to_pylist()], extraction_array)
+        return list_array([None if r is None else spans.without_overlaps(r) for r in found_rows(rows)], extraction_array)
 
     return F.arrow_udf(run, f"array<{EXTRACTION}>")(found)
 

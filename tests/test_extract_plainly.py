@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from docsieve.functions import spans
+from docsieve.functions import extract, spans
 from docsieve.functions.text import CODES, CURRENCY
 from docsieve.operators.prepass import BINDINGS, _label_at
 
@@ -33,3 +33,11 @@ def test_patterns_and_labels():
         for label in labels:
             m = re.search(label, text)
             assert _label_at(text, label) == (m.start() if m else -1), (label, text)
+
+
+def test_lists_of_extractions_are_read_by_column():
+    rows = [spans.money("$1.50 or (2.25) USD 3"), None, [], spans.dates("1/2/2003"), spans.emails("a@b.com")]
+    array = extract.list_array(rows, extract.extraction_array)
+    assert extract.found_rows(array) == rows
+    assert extract.found_rows(array[1:4]) == rows[1:4]
+    assert extract.found_rows(array[:0]) == []
